@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import ENTRIES
-from . import basic
+from . import basic, cleaning, deep
 
 __all__ = ["ENTRIES"]

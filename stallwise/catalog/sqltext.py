@@ -6,7 +6,12 @@ TYPES = ("pv", "click", "collect", "cart", "buy")
 
 
 def sd(num: str, den: str, scale: int = 4) -> str:
-    return f"coalesce(round(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0), {scale}), 0.0)"
+    return f"coalesce({rnd(f'CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0)', scale)}, 0.0)"
+
+
+def rnd(expr: str, scale: int) -> str:
+    """Half-up on the decimal value, which is how Spark rounds a double."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(30, 9)), {scale}) AS DOUBLE)"
 
 
 def big(expr: str) -> str:

@@ -76,7 +76,7 @@ def event_order_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def _users(spark, sf_dir) -> DataFrame:
+def user_table(spark, sf_dir) -> DataFrame:
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     key = F.col("c_custkey")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
@@ -89,7 +89,7 @@ def _users(spark, sf_dir) -> DataFrame:
     )
 
 
-def _items(spark, sf_dir) -> DataFrame:
+def item_table(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"),
         F.col("p_name").alias("item_name"),
@@ -103,7 +103,7 @@ def _items(spark, sf_dir) -> DataFrame:
     )
 
 
-def _categories(spark, sf_dir) -> DataFrame:
+def category_table(spark, sf_dir) -> DataFrame:
     """Two levels: regions on top, their nations below."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     top = region.select(
@@ -122,12 +122,12 @@ def _categories(spark, sf_dir) -> DataFrame:
 def event_world(spark: SparkSession, sf_dir: str) -> World:
     events = table(spark, sf_dir, "events")
     return World(
-        users=_users(spark, sf_dir),
-        items=_items(spark, sf_dir),
+        users=user_table(spark, sf_dir),
+        items=item_table(spark, sf_dir),
         behaviors=event_columns(events),
         orders=event_orders(events),
         order_items=event_order_lines(events),
-        categories=_categories(spark, sf_dir),
+        categories=category_table(spark, sf_dir),
     )
 
 
@@ -150,10 +150,10 @@ def order_world(spark: SparkSession, sf_dir: str) -> World:
         F.col("l_extendedprice").alias("amount"),
     )
     return World(
-        users=_users(spark, sf_dir),
-        items=_items(spark, sf_dir),
+        users=user_table(spark, sf_dir),
+        items=item_table(spark, sf_dir),
         behaviors=event_columns(events),
         orders=orders,
         order_items=lines,
-        categories=_categories(spark, sf_dir),
+        categories=category_table(spark, sf_dir),
     )
