@@ -114,7 +114,7 @@ def bins_sql(n: int, name: str = "binned") -> str:
     return f"""
 , q AS (SELECT quantile_cont(CAST(price AS DOUBLE), [{probs}]) AS e FROM w_items),
 edges AS (SELECT list_sort(list_distinct(e)) AS e FROM q),
-{name} AS (SELECT item_id, price, least(len(list_filter(e[2:], x -> x < CAST(price AS DOUBLE))), len(e) - 2) AS bin, e FROM w_items, edges)
+{name} AS (SELECT item_id, price, least(len(list_filter(e[2:], lambda x: x < CAST(price AS DOUBLE))), len(e) - 2) AS bin, e FROM w_items, edges)
 """
 
 

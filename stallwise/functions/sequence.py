@@ -50,16 +50,17 @@ def sessions(df: DataFrame, gap_minutes: int, key: str = "user_id", time: str =
     )
 
 
-def running_total(df: DataFrame, bucket: str, order: list, columns: list[str]) -> DataFrame:
-    """Adds ``cum_<column>`` over the global order (bucket, order) without a one-task window.
+def running_total(df: DataFrame, bucket: str, order: list, columns: list[str],
+                  by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``cum_<column>`` over the order (bucket, order) per ``by`` without a one-task window.
 
     ``bucket`` must be monotone in the order and take a bounded number of values.
     """
-    inner = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(bucket).agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    offsets = totals.select(bucket, *[
+    inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    offsets = totals.select(*by, bucket, *[
         F.coalesce(F.sum(f"_t_{c}").over(outer), F.lit(0)).alias(f"_o_{c}") for c in columns])
-    joined = df.join(offsets, bucket)
+    joined = df.join(offsets, [*by, bucket])
     return joined.select(*df.columns, *[
         (F.sum(c).over(inner) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in columns])

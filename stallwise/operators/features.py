@@ -72,11 +72,8 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
         n = cells.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum("total_behaviors").alias("n"))
         return n.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), column)).alias(name))
 
-    # order time in [start 00:00, end 00:00]
-    order_day = F.to_date("order_time")
-    on_midnight = F.col("order_time") == F.date_trunc("day", "order_time").cast("timestamp_ntz")
-    effective = F.when(on_midnight, order_day).otherwise(F.date_add(order_day, 1))
-    holds = F.filter(ends, lambda e: (effective <= e) & (order_day >= F.date_sub(e, days - 1)))
+    holds = F.filter(ends, lambda e: F.col("order_time").between(
+        F.date_sub(e, days - 1).cast("timestamp_ntz"), e.cast("timestamp_ntz")))
     bought = (
         paid_orders(orders).select("order_id", "user_id", "order_time", "total_amount")
         .withColumn("obs_end", F.explode(holds))
