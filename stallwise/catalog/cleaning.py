@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning as C
 from ..plans.cleaning import clean_tables
 from ..schemas import LOAD_ORDER, TABLES
+from ..session import scratch_path
 from ..sources import raw as X
 from ..sources import tables as S
 from ..sources.worlds import table
@@ -155,7 +156,7 @@ _add("A02_split_scan", lambda s, d: S.read_parquet(s, f"{d}/lineitem.parquet").g
 
 
 def _write_back(spark, d):
-    path = S.scratch_path(spark, "behaviors")
+    path = scratch_path(spark, "behaviors")
     b = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("event_date"))
     S.write_table(b, path, "event_date")
     return spark.read.parquet(path).select("event_id", "user_id", "event_date")
@@ -169,7 +170,7 @@ def _append(spark, d):
     """Refresh with the paid orders, then append the whole table: seen keys must not repeat."""
     source = table(spark, d, "orders")
     orders = source.select("o_orderkey", "o_custkey", "o_totalprice")
-    path = S.scratch_path(spark, "orders")
+    path = scratch_path(spark, "orders")
     S.write_table(source.filter("o_orderstatus = 'F'").select(*orders.columns), path)
     S.append_rows(spark, path, orders, "o_orderkey")
     return spark.read.parquet(path)
@@ -205,7 +206,7 @@ _add("A08_run_record", _record, """SELECT 'events' AS source, strftime(min(ts),
 
 
 def _json(spark, d):
-    path = S.scratch_path(spark, "funnel")
+    path = scratch_path(spark, "funnel")
     S.write_json(ENTRIES["D19_conversion_funnel"].run(spark, d), path)
     return spark.read.schema("step long, stage string, count long, step_conversion_rate double, overall_conversion_rate double").json(path)
 

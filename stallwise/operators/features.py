@@ -28,10 +28,13 @@ def observation_window(behaviors: DataFrame, days: int, end: str | None = None)
     return F.date_sub(last, days - 1), last
 
 
-def _spread(df: DataFrame, day: Column, ends: Column, days: int) -> DataFrame:
-    """Each row once per window that contains its day."""
-    holds = F.filter(ends, lambda e: (day <= e) & (day >= F.date_sub(e, days - 1)))
-    return df.withColumn("obs_end", F.explode(holds))
+def per_window(df: DataFrame, ends: Column, holds) -> DataFrame:
+    """Each row once per ``obs_end`` in the array ``ends`` for which ``holds(obs_end)`` is true.
+
+    The array is a column of its own first, because lambdas may not hold a subquery.
+    """
+    listed = df.withColumn("_ends", ends)
+    return listed.withColumn("obs_end", F.explode(F.filter("_ends", holds))).drop("_ends")
 
 
 def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataFrame, order_items: DataFrame,
@@ -55,7 +58,8 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
     prev = F.col("_prev.event_time")
     opens = (prev.isNull() | (micros_between("event_time", prev) > gap_minutes * 60_000_000)
              | (F.to_date(prev) < start))
-    seen = _spread(chained, F.col("event_date"), ends, days)
+    day = F.col("event_date")
+    seen = per_window(chained, ends, lambda e: (day <= e) & (day >= F.date_sub(e, days - 1)))
     # One row per (user, window, day, item, channel, device): every count below is a sum over these.
     cells = seen.groupBy(*keys, "event_date", "item_id", "channel", "device_type").agg(
         *type_counts("n_"), F.count(F.lit(1)).alias("total_behaviors"), F.count_if(opens).alias("n_sessions"))
@@ -72,12 +76,9 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
         n = cells.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum("total_behaviors").alias("n"))
         return n.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), column)).alias(name))
 
-    holds = F.filter(ends, lambda e: F.col("order_time").between(
-        F.date_sub(e, days - 1).cast("timestamp_ntz"), e.cast("timestamp_ntz")))
-    bought = (
-        paid_orders(orders).select("order_id", "user_id", "order_time", "total_amount")
-        .withColumn("obs_end", F.explode(holds))
-    )
+    bought = per_window(
+        paid_orders(orders).select("order_id", "user_id", "order_time", "total_amount"), ends,
+        lambda e: F.col("order_time").between(F.date_sub(e, days - 1).cast("timestamp_ntz"), e.cast("timestamp_ntz")))
     spending = (
         bought.groupBy(*keys, F.to_date("order_time").alias("day"))
         .agg(F.count(F.lit(1)).alias("c"), F.sum("total_amount").alias("g"), F.max("total_amount").alias("m"))

@@ -37,9 +37,9 @@ def balanced_weights(train: DataFrame) -> DataFrame:
 def fit_models(train: DataFrame, cfg: ModelSettings = ModelSettings()) -> dict[str, PipelineModel]:
     """Logistic regression on standardised features and a random forest, both class-balanced.
 
-    ``train`` is cut from its lineage first: both fits pass over it many times.
+    Both pass over ``train`` many times, so hand in a table that is already written.
     """
-    data = cut_lineage(balanced_weights(_numeric(train)).select("label", "class_weight", *USER_FEATURES))
+    data = balanced_weights(_numeric(train)).select("label", "class_weight", *USER_FEATURES)
     total = data.agg(F.sum("class_weight")).first()[0]
     assemble = VectorAssembler(inputCols=list(USER_FEATURES), outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
@@ -94,6 +94,7 @@ def classification_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshol
 
 def train_and_evaluate(split: DataFrame, cfg: ModelSettings = ModelSettings()) -> tuple[dict, DataFrame, DataFrame]:
     """Fit on ``train``; metrics for ``val`` and ``test`` of both models, and feature importance."""
+    split = cut_lineage(split)
     models = fit_models(split.filter("split = 'train'"), cfg)
     held_out = split.filter("split <> 'train'")
     scored = None
@@ -174,8 +175,9 @@ def assign_clusters(features: DataFrame, k: int = 4, starts: int = 10, seed: int
         fits = [KMeans(k=k, seed=seed + i).fit(scaled) for i in range(starts)]
         labelled = min(fits, key=lambda m: m.summary.trainingCost).transform(scaled).withColumnRenamed("prediction", "label")
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    order = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("o")).scalar()
-    place = F.array_position(F.transform(order, lambda x: x["label"]), F.col("label")) - 1
+    by_size = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label")))
+    order = sizes.agg(F.transform(by_size, lambda x: x["label"]).alias("labels")).scalar()
+    place = F.array_position(order, F.col("label")) - 1
     return labelled.select("user_id", place.alias("cluster_id"), *CLUSTER_FEATURES)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import SnapshotSettings
-from .features import windowed_user_features
+from .features import per_window, windowed_user_features
 from .revenue import paid_orders
 
 
@@ -36,19 +36,18 @@ def snapshot_calendar(behaviors: DataFrame, cfg: SnapshotSettings = SnapshotSett
 def buyers_after(orders: DataFrame, ends: Column, label_days: int) -> DataFrame:
     """(user, obs_end) with a paid order after midnight of obs_end and within the label days."""
     time = F.col("order_time")
-    holds = F.filter(ends, lambda e: (time > e.cast("timestamp_ntz"))
-                     & (time <= F.date_add(e, label_days).cast("timestamp_ntz")))
-    return paid_orders(orders).select("user_id", F.explode(holds).alias("obs_end")).distinct()
+    hits = per_window(paid_orders(orders).select("user_id", "order_time"), ends, lambda e: (
+        (time > e.cast("timestamp_ntz")) & (time <= F.date_add(e, label_days).cast("timestamp_ntz"))))
+    return hits.select("user_id", "obs_end").distinct()
 
 
 def active_after(behaviors: DataFrame, orders: DataFrame, ends: Column, label_days: int,
                  key_types: tuple[str, ...]) -> DataFrame:
     """(user, obs_end) that stay: a key behaviour or a paid order in the label days."""
     day = F.col("event_date")
-    holds = F.filter(ends, lambda e: (day > e) & (day <= F.date_add(e, label_days)))
-    acted = behaviors.filter(F.col("behavior_type").isin(list(key_types))).select(
-        "user_id", F.explode(holds).alias("obs_end"))
-    return acted.unionByName(buyers_after(orders, ends, label_days)).distinct()
+    keyed = behaviors.filter(F.col("behavior_type").isin(list(key_types))).select("user_id", "event_date").distinct()
+    acted = per_window(keyed, ends, lambda e: (day > e) & (day <= F.date_add(e, label_days)))
+    return acted.select("user_id", "obs_end").unionByName(buyers_after(orders, ends, label_days)).distinct()
 
 
 def _features(users, behaviors, orders, order_items, items, ends, cfg) -> DataFrame:

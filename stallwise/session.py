@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,17 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def _cut_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where none is named (tests)."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    return configured or tempfile.mkdtemp(prefix="stallwise-ckpt-")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder the cluster names; a private one only without it."""
+    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="stallwise-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result outlives the executors that computed it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_cut_dir(spark))
-    return df.checkpoint()
+    """Write once to the shared folder and read back: the result outlives the executors that made it.
+
+    A written table is computed a single time, while ``checkpoint()`` runs the plan twice.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TableSpec, raw_schema, require_columns
-from ..session import CHECKPOINT_KEY
 
 
 def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
@@ -93,9 +89,3 @@ def run_record(spark: SparkSession, **facts) -> DataFrame:
     values = {k: None if v is None else str(v) for k, v in facts.items()}
     return spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in values.items()],
                                  F.current_timestamp().alias("run_at"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder the cluster names; a private one only without it."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="stallwise-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
