@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scalar_row
+from ..session import cut_lineage
 from ..settings import WEIGHT_SETS, EvaluationSettings, RecommendSettings
 from .recommend import RECOMMENDERS
 
@@ -17,12 +19,14 @@ METRICS = ("precision", "recall", "f1", "hit_rate", "ndcg")
 
 
 def cut_day(behaviors: DataFrame, test_ratio: float = 0.25, ref_day: str | None = None) -> Column:
-    """Last training day: the final share of the covered days is the test part."""
-    r = scalar_row(behaviors, low=F.min("event_date"), high=F.max("event_date"))
-    last = F.lit(ref_day).cast("date") if ref_day else r["high"]
-    days = F.greatest(F.lit(1), F.rint(F.datediff(last, r["low"]) * test_ratio).cast("int"))
-    cut = F.date_sub(last, days)
-    return F.when(cut <= r["low"], F.date_add(r["low"], 1)).otherwise(cut)
+    """Last training day: the final share of the covered days is the test part.
+
+    Resolved once to a literal, so the date filters reach the scan.
+    """
+    low, high = behaviors.agg(F.min("event_date"), F.max("event_date")).first()
+    last = date.fromisoformat(ref_day) if ref_day else high
+    cut = last - timedelta(days=max(1, round((last - low).days * test_ratio)))
+    return F.lit(cut if cut > low else low + timedelta(days=1)).cast("date")
 
 
 def split_in_time(behaviors: DataFrame, cut: Column) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +100,7 @@ def evaluate_recommender(algorithm: str, behaviors, items, orders, order_items,
     cut, train, truth, users = _test_setup(behaviors, cfg)
     known = orders if leak_purchases else orders.filter(F.to_date("order_time") <= cut)
     recs = RECOMMENDERS[algorithm](train, items, known, order_items, users, replace(settings, top_k=cfg.k), cut)
-    return evaluate(recs, truth, items, cfg.k)
+    return evaluate(cut_lineage(recs), truth, items, cfg.k)
 
 
 def _ranked(rows: list[DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.quantiles import bin_index, quantile_edges
 from ..functions.scalar import min_max, scalar_row, time_decay, weight_of
 from ..functions.sequence import running_total
 from ..schemas import BEHAVIOR_TYPES
+from ..session import cut_lineage
 from ..settings import RecommendSettings
 from .revenue import paid_lines
 
@@ -31,9 +32,10 @@ LIST_BUCKETS = 4096
 
 # ---- shared parts ----------------------------------------------------------------------------
 def reference_day(behaviors: DataFrame, cfg: RecommendSettings) -> Column:
+    """The configured day or the last one with data, as a literal: decay and filters fold it in."""
     if cfg.as_of:
         return F.lit(cfg.as_of).cast("date")
-    return scalar_row(behaviors, d=F.max("event_date"))["d"]
+    return F.lit(behaviors.agg(F.max("event_date")).first()[0]).cast("date")
 
 
 def on_shelf(items: DataFrame, cfg: RecommendSettings) -> DataFrame:
@@ -75,9 +77,10 @@ def global_heads(scores: DataFrame, users: DataFrame, excluded: DataFrame | None
     """First ``k`` items of a global list per user, skipping the user's excluded items.
 
     A user with x excluded items on the list finds ``k`` others within the first k + x places, so
-    the rows made here grow with users and exclusions only.
+    the rows made here grow with users and exclusions only.  The numbered list is read several times
+    and is written once.
     """
-    ranked = positions(scores)
+    ranked = cut_lineage(positions(scores))
     if excluded is None:
         reach = users.select("user_id", F.lit(k).cast("long").alias("reach"))
         spots = reach.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), "reach")).alias("position"))
@@ -106,8 +109,8 @@ def with_attributes(recs: DataFrame, items: DataFrame, algorithm: str) -> DataFr
 
 def scaled(scores: DataFrame) -> DataFrame:
     """Min-max over all rows of an item score table."""
-    r = scalar_row(scores, low=F.min("score"), high=F.max("score"))
-    return scores.select("item_id", min_max("score", r["low"], r["high"]).alias("score"))
+    spread = scores.withColumn("_r", scalar_row(scores, low=F.min("score"), high=F.max("score")))
+    return spread.select("item_id", min_max("score", "_r.low", "_r.high").alias("score"))
 
 
 # ---- popular ---------------------------------------------------------------------------------
@@ -124,14 +127,15 @@ def popular_scores(behaviors: DataFrame, cfg: RecommendSettings = RecommendSetti
     """Each type scaled by its own maximum, weighted, summed, then min-max over items seen."""
     ref = reference_day(behaviors, cfg) if ref is None else ref
     parts = decayed_components(behaviors, cfg, ref)
-    tops = scalar_row(parts, **{t: F.max(t) for t in BEHAVIOR_TYPES})
+    topped = parts.withColumn("_top", scalar_row(parts, **{t: F.max(t) for t in BEHAVIOR_TYPES}))
     total = F.lit(0.0)
     seen = F.lit(False)
     for t in BEHAVIOR_TYPES:
-        part = F.when(tops[t] > 0, F.col(t) / tops[t]).otherwise(F.lit(0.0))
+        top = F.col(f"_top.{t}")
+        part = F.when(top > 0, F.col(t) / top).otherwise(F.lit(0.0))
         total = total + part * F.lit(float(cfg.weights.get(t, 0.0)))
         seen = seen | (F.col(t) > 0)
-    return scaled(parts.filter(seen).select("item_id", total.alias("score")))
+    return scaled(topped.filter(seen).select("item_id", total.alias("score")))
 
 
 # ---- weights and neighbours ------------------------------------------------------------------
@@ -243,9 +247,9 @@ def recommend_popular(behaviors, items, orders, order_items, users, cfg=Recommen
     return global_heads(scores, users.select("user_id").distinct(), bought, cfg.top_k).withColumn("score", F.round("score", 4))
 
 
-def _with_fallback(scored, fallback, users, shelf, bought, k) -> DataFrame:
-    """Personal lists where there are scores; the global list for users without any."""
-    known = scored.select("user_id").distinct()
+def _with_fallback(scored, fallback, users, known, shelf, bought, k) -> DataFrame:
+    """Personal lists for the users in ``known``; the global list for all others."""
+    known = known.select("user_id").distinct()
     personal = top_k(candidates(scored.join(users, "user_id", "left_semi"), shelf, bought), k)
     cold = users.join(known, "user_id", "left_anti")
     lists = global_heads(fallback.join(shelf, "item_id", "left_semi"), cold, bought, k)
@@ -261,22 +265,23 @@ def recommend_itemcf(behaviors, items, orders, order_items, users, cfg=Recommend
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     weights = user_item_weights(behaviors, cfg)
     return _with_fallback(itemcf_scores(weights, shelf), _item_totals(weights), users.select("user_id").distinct(),
-                          shelf, bought, cfg.top_k)
+                          weights, shelf, bought, cfg.top_k)
 
 
 def recommend_usercf(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     weights = user_item_weights(behaviors, cfg)
     return _with_fallback(usercf_scores(weights, cfg.neighbors), _item_totals(weights),
-                          users.select("user_id").distinct(), shelf, bought, cfg.top_k)
+                          users.select("user_id").distinct(), weights, shelf, bought, cfg.top_k)
 
 
 def recommend_content(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     ref = reference_day(behaviors, cfg) if ref is None else ref
-    scored = content_scores(user_seeds(behaviors, cfg, ref), content_features(items, cfg.price_bins), shelf)
+    seeds = user_seeds(behaviors, cfg, ref)
+    scored = content_scores(seeds, content_features(items, cfg.price_bins), shelf)
     fallback = scaled(decayed_user_items(behaviors, cfg, ref).groupBy("item_id").agg(F.sum("w").alias("score")))
-    return _with_fallback(scored, fallback, users.select("user_id").distinct(), shelf, bought, cfg.top_k)
+    return _with_fallback(scored, fallback, users.select("user_id").distinct(), seeds, shelf, bought, cfg.top_k)
 
 
 def hybrid_scores(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
@@ -289,7 +294,7 @@ def hybrid_scores(behaviors, items, orders, order_items, users, cfg=RecommendSet
     """
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     ref = reference_day(behaviors, cfg) if ref is None else ref
-    weights = user_item_weights(behaviors, cfg)
+    weights = cut_lineage(user_item_weights(behaviors, cfg))
     wanted = users.select("user_id").distinct().join(weights.select("user_id").distinct(), "user_id", "left_semi")
     parts = {
         "itemcf": itemcf_scores(weights, shelf),
@@ -299,16 +304,16 @@ def hybrid_scores(behaviors, items, orders, order_items, users, cfg=RecommendSet
     stacked = reduce(DataFrame.unionByName, [df.select("user_id", "item_id", "score", F.lit(n).alias("part")) for n, df in parts.items()])
     wide = stacked.join(wanted, "user_id", "left_semi").groupBy("user_id", "item_id").agg(
         *[F.sum(F.when(F.col("part") == n, F.col("score"))).alias(n) for n in parts])
-    wide = candidates(wide, shelf, bought)
+    wide = cut_lineage(candidates(wide, shelf, bought))
 
-    popular = popular_scores(behaviors, cfg, ref).join(shelf, "item_id", "left_semi")
+    popular = cut_lineage(popular_scores(behaviors, cfg, ref).join(shelf, "item_id", "left_semi"))
     taken = wide.select("user_id", "item_id")
     if bought is not None:
         taken = taken.unionByName(bought).distinct()
     extra = global_heads(popular, wanted, taken, cfg.top_k).select("user_id", "item_id")
     for n in parts:
         extra = extra.withColumn(n, F.lit(None).cast("double"))
-    table = wide.unionByName(extra).join(popular.withColumnRenamed("score", "popular"), "item_id", "left")
+    table = cut_lineage(wide.unionByName(extra).join(popular.withColumnRenamed("score", "popular"), "item_id", "left"))
 
     # per-user candidate counts and ranges
     shelf_n = scalar_row(shelf, n=F.count(F.lit(1)))["n"]
@@ -354,11 +359,13 @@ def cold_blend(behaviors, items, cfg=RecommendSettings(), ref=None) -> DataFrame
         df.join(shelf, "item_id", "left_semi").select("item_id", "score", F.lit(n).alias("part")) for n, df in parts.items()])
     wide = shelf.join(stacked, "item_id", "left").groupBy("item_id").agg(*[
         F.coalesce(F.sum(F.when(F.col("part") == n, F.col("score"))), F.lit(0.0)).alias(n) for n in parts])
-    r = scalar_row(wide, **{f"lo_{n}": F.min(n) for n in parts}, **{f"hi_{n}": F.max(n) for n in parts})
+    wide = cut_lineage(wide)
+    spread = wide.withColumn("_r", scalar_row(
+        wide, **{f"lo_{n}": F.min(n) for n in parts}, **{f"hi_{n}": F.max(n) for n in parts}))
     total = F.lit(0.0)
     for n in parts:
-        total = total + min_max(n, r[f"lo_{n}"], r[f"hi_{n}"]) * F.lit(float(cfg.blend.get(n, 0.0)))
-    return wide.select("item_id", total.alias("score")).filter(F.col("score") > 0)
+        total = total + min_max(n, f"_r.lo_{n}", f"_r.hi_{n}") * F.lit(float(cfg.blend.get(n, 0.0)))
+    return spread.select("item_id", total.alias("score")).filter(F.col("score") > 0)
 
 
 def recommend_hybrid(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
