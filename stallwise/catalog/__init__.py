@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import ENTRIES
-from . import basic, cleaning, deep, panels, recommending
+from . import basic, cleaning, deep, panels, recommending, serving
 
 __all__ = ["ENTRIES"]

@@ -175,13 +175,13 @@ def _churn_split(w):
 
 def _churn_scores(w):
     split = cut_lineage(_churn_split(w))
-    models = M.fit_models(split.filter("split = 'train'"), _FAST)
+    models = M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression")
     return M.score_latest_snapshot(models["logistic_regression"], split)
 
 
 def _purchase_scores(w):
     split = cut_lineage(_split(w))
-    models = M.fit_models(split.filter("split = 'train'"), _FAST)
+    models = M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression")
     return M.score_latest_per_user(models["logistic_regression"], split)
 
 

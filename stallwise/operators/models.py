@@ -34,7 +34,7 @@ def balanced_weights(train: DataFrame) -> DataFrame:
     return train.withColumn("class_weight", totals["n"] / (size * 2.0))
 
 
-def fit_models(train: DataFrame, cfg: ModelSettings = ModelSettings()) -> dict[str, PipelineModel]:
+def fit_models(train: DataFrame, cfg: ModelSettings = ModelSettings(), only: str | None = None) -> dict[str, PipelineModel]:
     """Logistic regression on standardised features and a random forest, both class-balanced.
 
     Both pass over ``train`` many times, so hand in a table that is already written.
@@ -49,10 +49,8 @@ def fit_models(train: DataFrame, cfg: ModelSettings = ModelSettings()) -> dict[s
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="raw", weightCol="class_weight", numTrees=cfg.trees,
         maxDepth=cfg.max_depth, seed=cfg.seed, cacheNodeIds=False)
-    return {
-        "logistic_regression": Pipeline(stages=[assemble, scale, logistic]).fit(data),
-        "random_forest": Pipeline(stages=[assemble, forest]).fit(data),
-    }
+    stages = {"logistic_regression": [assemble, scale, logistic], "random_forest": [assemble, forest]}
+    return {name: Pipeline(stages=s).fit(data) for name, s in stages.items() if only in (None, name)}
 
 
 def score(model: PipelineModel, dataset: DataFrame, keep: tuple[str, ...] = ("user_id", "obs_end", "label")) -> DataFrame:
