@@ -162,7 +162,7 @@ iw AS (SELECT item_id, CAST(floor((date_diff('day', as_of, event_date) - 1 + 28)
               count(*) FILTER (behavior_type = 'buy') AS buy
        FROM behaviors, ia WHERE date_diff('day', as_of, event_date) - 1 + 28 >= 0 GROUP BY 1, 2),
 ix AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY w) - 1 AS x FROM iw),
-it AS (SELECT item_id, list(buy ORDER BY w) AS buy_trend, sum(pv) AS total_pv, CASE WHEN count(*) < 2 OR sum(buy) = 0 THEN 0.0 ELSE regr_slope(buy, x) END AS slope
+it AS (SELECT item_id, list(buy ORDER BY w) AS buy_trend, sum(pv) AS total_pv, CASE WHEN count(*) < 2 OR sum(buy) = 0 THEN 0.0 ELSE round(regr_slope(buy, x), 9) END AS slope
        FROM ix GROUP BY 1),
 ig AS (SELECT item_id, round(sum(amount), 2) AS gmv FROM w_lines WHERE order_id IN (SELECT order_id FROM w_orders WHERE status = 'paid') GROUP BY 1),
 ij AS (SELECT i.item_id, item_name, round(price, 2) AS price, created_at, as_of, coalesce(buy_trend, [0, 0, 0, 0]) AS buy_trend,
