@@ -8,8 +8,10 @@ from ..operators import features as T
 from ..operators import models as M
 from ..operators import snapshots as G
 from ..plans.features import feature_dictionary
-from ..session import cut_lineage
+from ..plans.prediction import load_model, save_models
+from ..session import cut_lineage, scratch_path
 from ..settings import FeatureSettings, ModelSettings, SnapshotSettings
+from ..sources.tables import write_table
 from .registry import register
 from .sqltext import TYPES, counts, days_between, elapsed, rnd, sd, zeroed
 
@@ -77,6 +79,15 @@ def _tables(w):
 register("F01_user_features", lambda w: _rounded(T.user_features(*_tables(w))), _ONE_END + user_feature_sql(30) + _FEAT_OUT)
 register("F01_user_features_14_days", lambda w: _rounded(T.user_features(*_tables(w), FeatureSettings(observation_days=14, obs_end="2024-01-20"))),
          ", ends AS (SELECT DATE '2024-01-20' AS obs_end)" + user_feature_sql(14) + _FEAT_OUT)
+
+
+def _written_features(w):
+    path = scratch_path(w.users.sparkSession, "user_features")
+    write_table(T.user_features(*_tables(w)), path)
+    return _rounded(w.users.sparkSession.read.parquet(path))
+
+
+register("A10_feature_sink", _written_features, _ONE_END + user_feature_sql(30) + _FEAT_OUT)
 for _name, _cols in {
     "F01a_static": ("age", "gender_m", "gender_f", "register_days", "is_new_in_window"),
     "F01b_activity": ("total_behaviors", "n_active_days", "n_distinct_items", "n_distinct_categories", "n_channels", "n_devices"),
@@ -188,6 +199,17 @@ def _purchase_scores(w):
 register("G08_G09_model_metrics", lambda w: M.train_and_evaluate(_split(w), _FAST)[1])
 register("G11_train_churn", lambda w: M.train_and_evaluate(_churn_split(w), _FAST)[1])
 register("G12_feature_importance", lambda w: M.train_and_evaluate(_split(w), _FAST)[2])
+
+
+def _model_round_trip(w):
+    """Scores of a model that was saved and loaded again."""
+    split = cut_lineage(_split(w))
+    folder = scratch_path(split.sparkSession, "models")
+    save_models(M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression"), folder)
+    return M.score_latest_per_user(load_model(folder, "logistic_regression"), split)
+
+
+register("A11_model_round_trip", _model_round_trip)
 register("G14_churn_scores", _churn_scores)
 register("G15_purchase_scores", _purchase_scores)
 register("G16_best_model", lambda w: M.best_model(M.train_and_evaluate(_split(w), _FAST)[1]))

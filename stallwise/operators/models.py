@@ -56,7 +56,9 @@ def fit_models(train: DataFrame, cfg: ModelSettings = ModelSettings(), only: str
 def score(model: PipelineModel, dataset: DataFrame, keep: tuple[str, ...] = ("user_id", "obs_end", "label")) -> DataFrame:
     scored = model.transform(_numeric(dataset))
     kept = [c for c in (*keep, "split") if c in dataset.columns]
-    return scored.select(*kept, vector_to_array("probability")[1].alias("probability"))
+    # A model trained on negatives alone knows one class and gives no second entry.
+    positive = F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0))
+    return scored.select(*kept, positive.alias("probability"))
 
 
 def classification_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:

@@ -36,13 +36,11 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
-    """A partition column is repartitioned on first, so a day becomes few files, not one per task.
-
-    The extra random salt splits a hot day over several tasks.
+    """With a partition column, adaptive execution gathers each of its values into full-sized files and
+    splits a value that holds too much for one task.
     """
     if partition_by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        df.repartition(F.col(partition_by), salt).write.mode(mode).partitionBy(partition_by).parquet(path)
+        df.hint("rebalance", F.col(partition_by)).write.mode(mode).partitionBy(partition_by).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
