@@ -31,7 +31,7 @@ def run_models(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
     models, metrics, importance = train_and_evaluate(split, cfg)
     save_models(models, f"{out_dir}/models")
     write_json(metrics, f"{out_dir}/metrics")
-    write_json(best_model(spark.read.json(f"{out_dir}/metrics")), f"{out_dir}/best_model")
+    write_json(best_model(spark.read.schema(metrics.schema).json(f"{out_dir}/metrics")), f"{out_dir}/best_model")
     write_json(importance, f"{out_dir}/feature_importance")
     scorer = score_latest_per_user if task == "purchase" else lambda m, d: score_latest_snapshot(m, d, cfg)
     write_table(scorer(models["logistic_regression"], split), f"{out_dir}/scores")

@@ -33,8 +33,9 @@ def run_recommendations(spark: SparkSession, tables: dict[str, DataFrame], out_d
         lists = recommend(name, behaviors, items, orders, lines, users, cfg)
         write_table(lists, f"{out_dir}/lists/algorithm={name}")
     write_json(weight_experiment(behaviors, items, orders, lines, evaluation, cfg), f"{out_dir}/weight_experiment")
-    write_json(compare_algorithms(behaviors, items, orders, lines, evaluation, cfg), f"{out_dir}/comparison")
-    write_json(conclusion(spark.read.json(f"{out_dir}/comparison")), f"{out_dir}/conclusion")
+    compared = compare_algorithms(behaviors, items, orders, lines, evaluation, cfg)
+    write_json(compared, f"{out_dir}/comparison")
+    write_json(conclusion(spark.read.schema(compared.schema).json(f"{out_dir}/comparison")), f"{out_dir}/conclusion")
     record = run_record(spark, job="recommendations", top_k=cfg.top_k, half_life_days=cfg.half_life_days,
                         weights=cfg.weights, blend=cfg.blend, neighbors=cfg.neighbors)
     write_json(record, f"{out_dir}/run_record")
