@@ -8,7 +8,7 @@ from ..operators import revenue as V
 from ..operators import value as U
 from ..settings import RETENTION_OFFSETS as OFF
 from .registry import register
-from .sqltext import TYPES, big, counts, day, days_between, elapsed, sd, summed, zeroed
+from .sqltext import TYPES, big, counts, day, days_between, elapsed, sd, zeroed
 
 register("D01_user_scale", lambda w: A.user_scale(w.users, w.behaviors), f"""
 , u AS (SELECT count(*) AS total_users, count(DISTINCT user_id) AS new_users FROM w_users),

@@ -13,7 +13,7 @@ from ..operators import profiles as R
 from ..operators import revenue as V
 from ..operators import value as U
 from ..operators.features import observation_window
-from ..settings import BEHAVIOR_WEIGHTS, FREQUENCY_BINS, BasketSettings, ItemLifeSettings, parse_weights
+from ..settings import BEHAVIOR_WEIGHTS, BasketSettings, ItemLifeSettings, parse_weights
 from .basic import LIFE_SQL, RFM_SQL
 from .registry import register
 from .sqltext import TYPES, counts, elapsed, rnd, sd, zeroed

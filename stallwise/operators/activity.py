@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grids import axes, dense, ordered_axis
+from ..functions.grids import axes, dense
 from ..functions.scalar import safe_div, scalar_row, type_counts
 from ..schemas import BEHAVIOR_TYPES, DEVICE_TYPES
 from ..settings import UNKNOWN_LABEL

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.cleaning import (clean_rows, event_time_range, examine, quality_report, quality_summary,
                                   reconcile_orders)

@@ -124,8 +124,3 @@ def require_columns(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     if missing:
         raise ValueError(f"table {table}: missing columns {missing}")
     return df
-
-
-def raw_schema(spec: TableSpec) -> T.StructType:
-    """All-text form used before the rules have judged a value."""
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in spec.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import TableSpec, raw_schema, require_columns
+from ..schemas import TableSpec, require_columns
 
 
 def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:

@@ -5,7 +5,6 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from stallwise.functions.pairing import pair_sums
 from stallwise.functions.scalar import safe_div

@@ -1,7 +1,6 @@
 """Cleaning rules with dirty rows, and the whole run from CSV files."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import by
 from stallwise.operators.cleaning import clean_rows, examine, quality_row, reconcile_orders

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from stallwise.operators.features import item_features, user_features, user_item_features, windowed_user_features
-from stallwise.operators.snapshots import (active_after, buyers_after, churn_dataset, purchase_dataset, snapshot_calendar,
+from stallwise.operators.snapshots import (buyers_after, churn_dataset, purchase_dataset, snapshot_calendar,
                                            time_split)
 from stallwise.plans.features import feature_dictionary
 from stallwise.settings import FeatureSettings, SnapshotSettings

@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from stallwise.operators.models import CLUSTER_FEATURES, assign_clusters, fit_models, name_clusters, risk_level, score
