@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +29,21 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder the cluster names; without one, a folder of the warehouse, which is shared as well."""
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder the cluster names; a private one only without it."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="stallwise-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table through the file system that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
