@@ -90,7 +90,8 @@ def links(prints: DataFrame) -> DataFrame:
     shared = cut_lineage(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                          .where("n > 1"))
     pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
-    crowded = keyed.join(shared.where("n > 2").select("k"), "k", "left_semi").select("fp").distinct()
+    # written, as it is read twice; always a sorted join, so that the plan is the same at every size
+    crowded = cut_lineage(keyed.join(shared.where("n > 2").select("k").hint("merge"), "k", "left_semi").select("fp").distinct())
     near = crowded.select("fp", F.explode(ball(F.col("fp"))).alias("centre"))
     lowest = near.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("centre", "a")
     stars = near.join(lowest, "centre").where("fp <> a").select("a", F.col("fp").alias("b"))
