@@ -118,7 +118,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     arrow_rows(vectors.sparkSession, 16)
     cells = cand.join(asked.select(
         F.col("n").alias("qn"), F.col("width").alias("qwidth"), F.col("ids").alias("qids"), F.col("columns").alias("qcolumns"),
-        "block", F.explode(F.sequence(F.lit(0), F.lit(MEETINGS - 1))).cast("long").alias("meet")), "meet")
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MEETINGS - 1).cast("long"))).alias("meet")), "meet")
 
     def searched(batches: Iterator) -> Iterator:
         import numpy as np

@@ -20,7 +20,8 @@ SHARED_BYTES = 1000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 FILE_BYTES = 64 << 20  # an archive is closed beyond this size
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 16  # read at once; a record that needs more doubles it
+HELD_BYTES = 1 << 20  # payloads handed on together
 DATE = "2026-01-01T00:00:00Z"
 
 
@@ -80,7 +81,7 @@ class Window:
         self.read, self.data, self.base, self.ended = read, b"", 0, False
 
     def more(self) -> bool:
-        got = b"" if self.ended else self.read(READ_BYTES)
+        got = b"" if self.ended else self.read(max(READ_BYTES, len(self.data)))
         self.ended = not got
         self.data += got
         return bool(got)
@@ -264,7 +265,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                                          len(payload) if stored else number(h, "payload-length"), digest, h.get("warc-type"),
                                          number(h, "refers-to-page-id"), payload if payloads else None))
                             held += len(payload or b"") * payloads
-                        if held > READ_BYTES or len(rows) >= 4096:
+                        if held > HELD_BYTES or len(rows) >= 4096:
                             yield packed(rows)
                             rows, held = [], 0
                 if rows:
