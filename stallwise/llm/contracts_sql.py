@@ -1,3 +1,65 @@
 """Check SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    # the schedule takes of every source the whole part of its target, pass by pass in the order of its shuffle
+    "op1_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+l AS (SELECT *, row_number() OVER (ORDER BY (3 * source_size)::DOUBLE / weight, rank) AS place FROM w),
+c AS (SELECT *, (sum(source_size) OVER ())::BIGINT AS total,
+  coalesce(sum(3 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+  (sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS sharing FROM l),
+f AS (SELECT capped, sharing, place FROM c WHERE (weight * (total - capped))::DOUBLE / sharing <= 3 * source_size ORDER BY place LIMIT 1),
+t AS (SELECT c.source, c.source_size, CASE WHEN c.place >= f.place THEN (c.weight * (c.total - f.capped))::DOUBLE / f.sharing
+  ELSE (3 * c.source_size)::DOUBLE END AS target FROM c LEFT JOIN f ON true),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS upto,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
+  (upto // source_size) * size + greatest(0, least(start + size, upto % source_size) - start) END::BIGINT AS taken FROM p""",
+
+    "op3_quality_rules": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM r) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+sig AS (SELECT doc_id, source, coalesce(list_min(list_transform(w, lambda x: md5(x))), '') AS signature FROM d),
+n AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
+  len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
+hosts AS (SELECT source, count(DISTINCT signature) AS documents FROM sig GROUP BY source),
+seen AS (SELECT n.source, norm, count(DISTINCT signature) AS seen FROM n JOIN sig USING (doc_id) GROUP BY n.source, norm),
+common AS (SELECT s.source, norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
+  WHERE seen > 50 AND seen > 0.05::DOUBLE * documents),
+rem AS (SELECT doc_id, sum(words)::BIGINT AS removed_words FROM n JOIN common c ON n.norm = c.norm AND n.source IS NOT DISTINCT FROM c.source
+  GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN rem USING (doc_id))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - removed_words < 0.3::DOUBLE * n_words) AS kept
+FROM m""".replace("\\\\", "\\"),
+
+    "op4_warc": """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT digest, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p LEFT JOIN g USING (digest)""",
+
+    "op5_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
