@@ -12,7 +12,7 @@ from .common import arrow_rows
 from .quality_model import HELD_OUT, training_rows
 
 GRADES = 4  # 0 none, 1 mild, 2 strong, 3 severe
-#: Grade of a toxic document by the marked words it holds: up to 1 is mild, up to 3 strong, more is severe.
+# Grade of a toxic document by the marked words it holds: up to 1 is mild, up to 3 strong, more is severe.
 GRADE_STEPS = (1, 3)
 FLAG = 0.5
 
@@ -31,7 +31,7 @@ class ToxicSettings:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted word hashes, one shared weight each, and the thresholds between the grades."""
+    """Sorted features, one shared weight each, and the thresholds between the grades."""
 
     keys: object
     weights: object
@@ -48,20 +48,33 @@ def bare(word: str) -> str:
     return "".join(c for c in word if c.isalpha()).lower()
 
 
+def stems(word: str) -> list[int]:
+    """Features of a word: its first four letters (odd numbers), its first five and the whole word (even numbers).
+
+    Insults are often inflected or compounded: the stems carry what single forms are too rare to show.
+    """
+    import xxhash
+
+    b = bare(word)
+    if not b:
+        return []
+    digest = lambda kind, part: xxhash.xxh64_intdigest((kind + part).encode("utf-8", "surrogatepass"), 3)
+    out = [digest("4", b[:4]) | 1]
+    return out + [digest(k, part) & ~1 for k, part in (("5", b[:5]), ("w", b)) if len(part) > 4]
+
+
 def counts(text: str | None, cache: dict):
-    """(hashes, counts) of the bare words of a text."""
+    """(features, counts) of the words of a text."""
     import numpy as np
-    import xxhash
 
     tokens = (text or "").split()
     if len(cache) > _CACHE_WORDS:
         cache.clear()
     for w in set(tokens):
         if w not in cache:
-            b = bare(w)
-            cache[w] = xxhash.xxh64_intdigest(b.encode("utf-8", "surrogatepass"), 3) if b else 0
-    found = np.fromiter((cache[w] for w in tokens), np.uint64, len(tokens))
-    return np.unique(found[found != 0], return_counts=True)
+            cache[w] = stems(w)
+    found = [f for w in tokens for f in cache[w]]
+    return np.unique(np.array(found, np.uint64), return_counts=True)
 
 
 def _sigmoid(x):
@@ -120,8 +133,8 @@ def ordinal_fit(rows, columns, values, grades, width: int, ridge: float, rounds:
 def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings(), key: str = "doc_id", text: str = "text") -> Model:
     """The model, learned from a bounded sample of labelled rows outside the held-out quarter.
 
-    Labels say toxic or not.  The grade of a toxic row comes from its marked words: those whose odds of standing in a
-    toxic row are ``marked_odds`` times those of a clean one.  Without labels of both kinds nothing is toxic.
+    Labels say toxic or not.  The grade of a toxic row comes from its marked words: those whose first four letters have
+    odds of standing in a toxic row that are ``marked_odds`` times those of a clean one.  Without labels of both kinds nothing is toxic.
     """
     import numpy as np
 
@@ -156,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     chosen = chosen[gain[chosen] > 0]
     if not len(chosen):
         return nothing
-    marked = (ratio >= np.log(settings.marked_odds)) & (toxic >= settings.least_documents)
+    marked = (ratio >= np.log(settings.marked_odds)) & (toxic >= settings.least_documents) & (keys % np.uint64(2) == 1)
     hits = np.bincount(rows, times * marked[columns], minlength=len(hashes))
     grades = np.where(y == 0, 0, 1 + sum((hits > s).astype(int) for s in GRADE_STEPS))
     place = np.full(len(keys), -1)
@@ -182,15 +195,21 @@ def graded(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSe
         import numpy as np
         import pyarrow as pa
 
-        cache: dict = {}
+        index = {int(k): i for i, k in enumerate(model.keys)}
+        cache: dict = {}  # word -> places of its features in the model; for most words there are none
         for batch in batches:
             linear = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(1)):
-                h, c = counts(t.as_py(), cache)
-                if len(h) and len(model.keys):
-                    at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
-                    same = model.keys[at] == h
-                    linear[i] = (model.weights[at[same]] * np.log2(1.0 + c[same])).sum()
+                tokens = (t.as_py() or "").split()
+                if len(cache) > _CACHE_WORDS:
+                    cache.clear()
+                for w in set(tokens):
+                    if w not in cache:
+                        cache[w] = [index[f] for f in stems(w) if f in index]
+                at = [j for w in tokens for j in cache[w]]
+                if at:
+                    places, number = np.unique(at, return_counts=True)
+                    linear[i] = (model.weights[places] * np.log2(1.0 + number)).sum()
             shares = grade_shares(linear, model.thresholds)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(1 - shares[:, 0], pa.float64()), pa.array(shares @ np.arange(GRADES), pa.float64()),
