@@ -24,7 +24,7 @@ SHARPNESS = 1.0  # power of that weight
 STEP_CHARS = 1_000_000  # characters whose lattices are searched together
 #: A node's log-mass below this cannot reach any sample: noise from 53-bit uniforms lies within -3.7 and 36.8.
 FLOOR = -64.0
-CACHE_NODES = 12_000_000
+CACHE_NODES = 2_000_000  # lattice nodes a task keeps: about 200 MB
 
 
 class Vocabulary:
