@@ -113,9 +113,9 @@ def dual_descent(rows, signs, values, width: int, settings: QualitySettings, see
             new = min(max(alpha[i] - slope / square[i], 0.0), cap[i])
             if new != alpha[i]:
                 w[at] += (new - alpha[i]) * signs[i] * v
-                moved = max(moved, abs(new - alpha[i]) / cap[i])
+                moved = max(moved, abs(new - alpha[i]) * square[i] ** 0.5)
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < 1e-4:  # no weight vector step is longer than this
             break
     return w
 
