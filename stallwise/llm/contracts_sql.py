@@ -30,7 +30,8 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id,
 lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-sig AS (SELECT doc_id, source, coalesce(list_min(list_transform(w, lambda x: md5(x))), '') AS signature FROM d),
+sig AS (SELECT doc_id, source, coalesce(list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: length(w[i]) >= 8),
+  lambda i: md5(concat_ws(' ', w[i], w[i + 1], w[i + 2])))), md5(t)) AS signature FROM d),
 n AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
   len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
 hosts AS (SELECT source, count(DISTINCT signature) AS documents FROM sig GROUP BY source),

@@ -31,7 +31,7 @@ FURNITURE_NAMES = re.compile(
     r"toolbar|site-header|page-header|skip)(?:$|[-_\s\d])", re.I)
 CONTENT_TAGS = frozenset("article main".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLANK = re.compile(r"\s+")
 

@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     store, place = storage(path)
                     store.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = {"path": path, "stream": store.open_output_stream(place), "records": 0, "bytes": 0}
+                    out = {"path": path, "stream": store.open_output_stream(place, compression=None), "records": 0, "bytes": 0}
                 out["stream"].write(member)
                 out["records"] += 1
                 out["bytes"] += len(member)
@@ -252,7 +252,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, place = storage(path)
                 rows, held = [], 0
-                with store.open_input_stream(place) as stream:
+                with store.open_input_stream(place, compression=None) as stream:
                     for kind, start, end, *rest in salvage(stream.read):
                         if kind == "gap":
                             rows.append((path, kind, start, end, rest[0], *[None] * 7))

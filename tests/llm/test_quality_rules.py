@@ -40,8 +40,9 @@ def test_common_lines_deplete_documents_but_copies_do_not(spark):
     notice = "Accept all cookies 1999 on  this site please now"
     rows = [(i, _text(i, 5), "en", "a.example", 0) for i in range(20)]
     rows += [(100 + i, "\n".join([notice] * 6 + [f"left{i} over{i}"] * 1), "en", "a.example", 0) for i in range(3)]
-    # a document with forty copies is one document: none of its lines is common
-    rows += [(200 + i, _text("copy", 6), "en", "b.example", 0) for i in range(40)] + [(300, "\n".join([notice] * 8), "en", None, 0)]
+    # a document with forty near copies is about one document: none of its lines is common
+    story = "\n".join(" ".join(f"wonderful{j} story{k} of{k}" for k in range(12)) for j in range(6))
+    rows += [(200 + i, story + f"\nnear copy {i}", "en", "b.example", 0) for i in range(40)] + [(300, "\n".join([notice] * 8), "en", None, 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in quality_rules.judged(docs, settings=few).collect()}
     assert all(got[i].kept and got[i].removed_words == 9 for i in range(20))

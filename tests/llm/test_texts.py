@@ -33,12 +33,13 @@ def test_main_text_without_marked_elements():
     assert html_text.main_text(page).split("\n") == [f"Sentence number {i}, with some commas, and an end." for i in range(5)] + ["Fin."]
 
 
-@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p class='x", "</p></p>", "<!--", "<script>x", "<nav>a, b.</nav>", "<![CDATA[x"])
+@pytest.mark.parametrize("page", [None, "", "   ", "<p", "<p class='x", "</p></p>", "<!--", "<script>x", "<nav>a, b.</nav>", "<![CDATA[x"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) == ""
 
 
 def test_odd_pages():
+    assert html_text.main_text("<") == "<"
     assert html_text.main_text("just text, no tags") == "just text, no tags"
     assert html_text.main_text("<p>a < b and c > d, so.") == "a < b and c > d, so."
     deep = "<div>" * 3000 + "deep text, here." + "</div>" * 3000
