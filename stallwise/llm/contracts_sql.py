@@ -24,14 +24,15 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 
     "op3_quality_rules": f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g) WHERE n > 1),
+g AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+h AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM h WHERE c IS NOT NULL) WHERE n > 1),
 rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM r) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-sig AS (SELECT doc_id, source, coalesce(list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: length(w[i]) >= 8),
-  lambda i: md5(concat_ws(' ', w[i], w[i + 1], w[i + 2])))), md5(t)) AS signature FROM d),
+telling AS (SELECT doc_id, min(md5(concat_ws(' ', a, b, c))) AS least FROM h WHERE length(a) >= 8 GROUP BY doc_id),
+sig AS (SELECT doc_id, source, coalesce(least, md5(t)) AS signature FROM d LEFT JOIN telling USING (doc_id)),
 n AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
   len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
 hosts AS (SELECT source, count(DISTINCT signature) AS documents FROM sig GROUP BY source),
