@@ -38,7 +38,7 @@ n AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0
 hosts AS (SELECT source, count(DISTINCT signature) AS documents FROM sig GROUP BY source),
 seen AS (SELECT n.source, norm, count(DISTINCT signature) AS seen FROM n JOIN sig USING (doc_id) GROUP BY n.source, norm),
 common AS (SELECT s.source, norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
-  WHERE seen > 50 AND seen > 0.05::DOUBLE * documents),
+  WHERE seen > 20 AND seen > 0.05::DOUBLE * documents),
 rem AS (SELECT doc_id, sum(words)::BIGINT AS removed_words FROM n JOIN common c ON n.norm = c.norm AND n.source IS NOT DISTINCT FROM c.source
   GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
