@@ -125,74 +125,85 @@ class Lattices:
         self.last = np.zeros(0, bool)
 
     def add(self, units: list[str]) -> None:
-        """Build the lattices of new units: edges by walking the trie from all places at once, masses backwards."""
+        """Build the lattices of new units: edges by walking the trie from all places at once, masses backwards.
+
+        Nodes are numbered by their distance from the unit's end, and by unit inside a distance: the masses of one distance
+        need those of smaller ones only, and are a few operations on a stretch of all edges.
+        """
         import numpy as np
 
         v = self.v
         units = sorted(units, key=len, reverse=True)
         lengths = np.array([len(u) for u in units], np.int64)
-        ends = np.cumsum(lengths + 1) - 1
-        size = int(ends[-1]) + 1
-        point = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass") + b"\0" * 4, np.uint32).astype(np.int32)
-        is_end = np.zeros(size, bool)
-        is_end[ends] = True
-        left = np.repeat(ends, lengths + 1) - np.arange(size)  # places up to the unit's end
-        wide = v.longest
-        edge = np.full((size, wide), -np.inf, np.float32)
-        which = np.full((size, wide), -1, np.int32)
-        state = v.root[point]
-        alive = np.flatnonzero((state >= 0) & ~is_end)
-        state = state[alive]
-        for n in range(1, wide + 1):
-            found = v.piece[state] >= 0
-            at = alive[found]
-            edge[at, n - 1] = v.weight[state[found]]
-            which[at, n - 1] = v.piece[state[found]]
-            go = left[alive] > n
+        ends = np.cumsum(lengths)
+        longest = int(lengths[0])
+        some = np.searchsorted(-lengths, -np.arange(longest + 1), "right")  # units at least that long
+        offset = np.concatenate([[0], np.cumsum(some)])
+        size = int(offset[-1])
+        distance = np.repeat(np.arange(longest + 1), some)
+        rank = np.arange(size) - np.repeat(offset[:-1], some)
+        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        point = np.full(size, -1, np.int32)
+        point[some[0]:] = text[(ends[rank] - distance)[some[0]:]]
+        alive = np.arange(some[0], size)
+        state = v.root[point[alive]]
+        alive, state = alive[state >= 0], state[state >= 0]
+        found = []
+        for n in range(1, v.longest + 1):
+            hit = v.piece[state] >= 0
+            found.append((alive[hit], v.piece[state[hit]], v.weight[state[hit]]))
+            go = distance[alive] > n
             alive, state = alive[go], state[go]
             if not len(alive):
                 break
-            key = (state.astype(np.int64) << 21) | point[alive + n]
+            key = (state.astype(np.int64) << 21) | point[offset[distance[alive] - n] + rank[alive]]
             slot = np.minimum(np.searchsorted(v.step_key, key), len(v.step_key) - 1)
             hit = v.step_key[slot] == key
             alive, state = alive[hit], v.step_to[slot[hit]]
-        bare = np.flatnonzero((which[:, 0] < 0) & ~is_end)
+        bare = np.ones(size, bool)
+        bare[:some[0]] = False
+        bare[found[0][0]] = False
+        bare = np.flatnonzero(bare)
+        number = np.bincount(np.concatenate([bare, *[f[0] for f in found]]), minlength=size)
+        first = np.concatenate([[0], np.cumsum(number)])
+        edges = int(first[-1])
+        to, piece, log = np.empty(edges, np.int64), np.empty(edges, np.int32), np.empty(edges)
+        spot = first[:-1].copy()
+        for n in range(len(found), 0, -1):  # a node's longest piece first: usually the likeliest one
+            node, which, weight = found[n - 1]
+            at = spot[node]
+            to[at], piece[at], log[at] = offset[distance[node] - n] + rank[node], which, weight
+            spot[node] += 1
         p = point[bare]
-        count = 1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF)
-        edge[bare, 0] = v.byte_weight * count
-        mass = np.zeros(size + wide)
-        reach = np.arange(1, wide + 1)
-        longest = int(lengths[0])
-        some = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")
-        taken = edge.astype(np.float64)
+        at = spot[bare]
+        to[at], piece[at] = offset[distance[bare] - 1] + rank[bare], -1
+        log[at] = v.byte_weight * (1 + (p > 0x7F).astype(np.int64) + (p > 0x7FF) + (p > 0xFFFF))
+        mass, chance = np.zeros(size), np.empty(edges)
         for d in range(1, longest + 1):
-            rows = ends[:some[d - 1]] - d
-            value = taken[rows] + mass[rows[:, None] + reach]
-            top = value.max(axis=1)
-            value -= top[:, None]
-            total = top + np.log(np.exp(value).sum(axis=1))
-            mass[rows] = total
-            taken[rows] = value + (top - total)[:, None]
-        # edges of a node, longest piece first: usually the likeliest one
-        node, back = np.nonzero(edge[:, ::-1] > -np.inf)
-        step = wide - 1 - back
-        log = np.minimum(taken[node, step], 0.0)
-        chance = np.exp(log)
-        first = np.searchsorted(node, np.arange(size + 1))
+            low, high = int(offset[d]), int(offset[d + 1])
+            begin, end = int(first[low]), int(first[high])
+            starts, counts = first[low:high] - begin, number[low:high]
+            value = log[begin:end] + mass[to[begin:end]]
+            top = np.maximum.reduceat(value, starts)
+            value -= np.repeat(top, counts)
+            share = np.exp(value)
+            total = np.add.reduceat(share, starts)
+            mass[low:high] = top + np.log(total)
+            chance[begin:end] = share / np.repeat(total, counts)
+            log[begin:end] = value - np.repeat(np.log(total), counts)
+        log = np.minimum(log, 0.0)
         run = np.cumsum(chance)
-        upto = run - np.concatenate([[0.0], run])[first[node]]
-        closing = np.zeros(len(node), bool)
-        closing[(first[1:] - 1)[first[1:] > first[:-1]]] = True
-        upto[closing] = 2.0  # whatever is left of the interval
+        owner = np.repeat(np.arange(size), number)
+        upto = run - np.concatenate([[0.0], run])[first[owner]]
+        upto[first[1:][number > 0] - 1] = 2.0  # whatever is left of the interval
         self.first = np.concatenate([self.first[:-1], first + len(self.to)])
-        self.to = np.concatenate([self.to, node + step + 1 + self.nodes])
-        self.piece = np.concatenate([self.piece, which[node, step]])
-        self.point = np.concatenate([self.point, point[node]])
+        self.to = np.concatenate([self.to, to + self.nodes])
+        self.piece = np.concatenate([self.piece, piece])
+        self.point = np.concatenate([self.point, point[owner]])
         self.log = np.concatenate([self.log, log])
         self.upto = np.concatenate([self.upto, upto])
-        self.last = np.concatenate([self.last, is_end])
-        for u, s in zip(units, (ends - lengths + self.nodes).tolist()):
-            self.start[u] = s
+        self.last = np.concatenate([self.last, distance == 0])
+        self.start.update(zip(units, (offset[lengths] + np.arange(len(units)) + self.nodes).tolist()))
         self.nodes += size
 
     def units(self, text: str) -> list[str]:
@@ -256,11 +267,12 @@ class Sampler:
         if lat.nodes > CACHE_NODES:
             lat.reset()
         rows = [lat.units(t or "") for t in texts]
-        new = set().union(*rows).difference(lat.start) if rows else set()
+        flat = [u for r in rows for u in r]
+        new = set(flat).difference(lat.start)
         if new:
             lat.add(list(new))
         size = np.array([len(r) for r in rows], np.int64)
-        start = np.fromiter((lat.start[u] for r in rows for u in r), np.int64, int(size.sum()))
+        start = np.array(list(map(lat.start.__getitem__, flat)), np.int64)
         begin = np.cumsum(size) - size
         with np.errstate(over="ignore"):
             seeds = mixed_bits(np.array([(0 if k is None else k) & ((1 << 64) - 1) for k in keys], np.uint64)
@@ -357,7 +369,9 @@ class Sampler:
         number[bare] += (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
         out = np.repeat(piece, number)
         at = (np.cumsum(number) - number)[bare]
-        for a, p in zip(at, point):
+        one = point <= 0x7F
+        out[at[one]] = self.lattices.v.byte_id[point[one]]
+        for a, p in zip(at[~one], point[~one]):
             raw = chr(p).encode("utf-8", "surrogatepass")
             out[a:a + len(raw)] = self.lattices.v.byte_id[np.frombuffer(raw, np.uint8)]
         return out

@@ -31,18 +31,24 @@ def test_measures_against_brute_force(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
+def _word(*numbers):
+    """Letters only: normalised lines do not tell digits apart."""
+    return "".join(chr(97 + n % 26) + chr(97 + n // 26) for n in numbers)
+
+
 def _text(i, own):
-    return "\n".join(["Accept all COOKIES 2024 on this site please now"] * 1 + [" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(own)])
+    lines = [" ".join(_word(i, j, k) for k in range(12)) for j in range(own)]
+    return "\n".join(["Accept all COOKIES 2024 on this site please now", *lines])
 
 
 def test_common_lines_deplete_documents_but_copies_do_not(spark):
     few = RuleSettings(least_documents=5, share=0.05, kept_share=0.5)
     notice = "Accept all cookies 1999 on  this site please now"
     rows = [(i, _text(i, 5), "en", "a.example", 0) for i in range(20)]
-    rows += [(100 + i, "\n".join([notice] * 6 + [f"left{i} over{i}"] * 1), "en", "a.example", 0) for i in range(3)]
+    rows += [(100 + i, "\n".join([notice] * 6 + [_word(i, 3) + " " + _word(i, 4)] * 1), "en", "a.example", 0) for i in range(3)]
     # a document with forty near copies is about one document: none of its lines is common
-    story = "\n".join(" ".join(f"wonderful{j} story{k} of{k}" for k in range(12)) for j in range(6))
-    rows += [(200 + i, story + f"\nnear copy {i}", "en", "b.example", 0) for i in range(40)] + [(300, "\n".join([notice] * 8), "en", None, 0)]
+    story = "\n".join(" ".join(f"wonderful{_word(j)} story{_word(k)} of{_word(k)}" for k in range(12)) for j in range(6))
+    rows += [(200 + i, story + "\nnear copy " + _word(i), "en", "b.example", 0) for i in range(40)] + [(300, "\n".join([notice] * 8), "en", None, 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in quality_rules.judged(docs, settings=few).collect()}
     assert all(got[i].kept and got[i].removed_words == 9 for i in range(20))
