@@ -357,24 +357,35 @@ class Sampler:
         return int(start[begin + owner[at]])
 
     def ids(self, path):
-        """Piece ids of a path of edges; a character without a piece becomes its bytes."""
+        """Piece ids of a path of edges."""
+        return self.ids_of([path])[0]
+
+    def ids_of(self, paths: list):
+        """(piece ids of all paths, one after the other; how many each has).
+
+        A character without a piece becomes its bytes.
+        """
         import numpy as np
 
-        piece = self.lattices.piece[path]
+        lengths = np.array([len(p) for p in paths], np.int64)
+        edges = np.concatenate(paths) if paths else np.zeros(0, np.int64)
+        piece = self.lattices.piece[edges]
         bare = np.flatnonzero(piece < 0)
-        if not len(bare):
-            return piece
-        point = self.lattices.point[path[bare]]
-        number = np.ones(len(path), np.int64)
-        number[bare] += (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+        point = self.lattices.point[edges[bare]]
+        wide = np.flatnonzero(point > 0x7F)
+        piece[bare] = self.lattices.v.byte_id[np.minimum(point, 0x7F)]
+        if not len(wide):
+            return piece, lengths
+        more = (point[wide] > 0x7FF).astype(np.int64) + (point[wide] > 0xFFFF) + 1
+        number = np.ones(len(edges), np.int64)
+        number[bare[wide]] += more
         out = np.repeat(piece, number)
-        at = (np.cumsum(number) - number)[bare]
-        one = point <= 0x7F
-        out[at[one]] = self.lattices.v.byte_id[point[one]]
-        for a, p in zip(at[~one], point[~one]):
+        at = (np.cumsum(number) - number)[bare[wide]]
+        for a, p in zip(at, point[wide]):
             raw = chr(p).encode("utf-8", "surrogatepass")
             out[a:a + len(raw)] = self.lattices.v.byte_id[np.frombuffer(raw, np.uint8)]
-        return out
+        ends = np.concatenate([[0], np.cumsum(number)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return out, np.diff(ends)
 
 
 def decoded(ids: list[int], surface: list[bytes]) -> str:
@@ -412,21 +423,24 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, se
                 while end < len(keys) and (end == at or chars + len(texts[end] or "") <= STEP_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                columns: list[list] = [[] for _ in range(7)]
-                for k, t, found in zip(keys[at:end], texts[at:end], sampler.sample(keys[at:end], texts[at:end])):
-                    for n, (edges, log_prob, perturbed, inclusion) in enumerate(found, 1):
-                        ids = sampler.ids(edges)
-                        # the vocabulary's own mark for a blank decodes as a blank
-                        same = decoded(ids.tolist(), surface) == (t or "").replace(MARK, " ")
-                        for column, value in zip(columns, (k, n, ids, log_prob, perturbed, inclusion, same)):
+                found = sampler.sample(keys[at:end], texts[at:end])
+                flat, number = sampler.ids_of([edges for row in found for edges, *_ in row])
+                offsets = np.concatenate([[0], np.cumsum(number)])
+                listed, cuts = flat.tolist(), offsets.tolist()
+                columns: list[list] = [[] for _ in range(6)]
+                nth = 0
+                for k, t, row in zip(keys[at:end], texts[at:end], found):
+                    plain = (t or "").replace(MARK, " ")  # the vocabulary's own mark for a blank decodes as a blank
+                    for n, (_, log_prob, perturbed, inclusion) in enumerate(row, 1):
+                        same = decoded(listed[cuts[nth]:cuts[nth + 1]], surface) == plain
+                        nth += 1
+                        for column, value in zip(columns, (k, n, log_prob, perturbed, inclusion, same)):
                             column.append(value)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in columns[2]])]).astype(np.int32)
-                flat = np.concatenate(columns[2]).astype(np.int32) if columns[2] else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
-                    pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.float64()),
-                    pa.array(columns[6], pa.bool_())],
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())),
+                    pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()),
+                    pa.array(columns[5], pa.bool_())],
                     names=["k", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"])
                 at = end
 
