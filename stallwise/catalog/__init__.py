@@ -2,5 +2,6 @@
 
 from .registry import ENTRIES
 from . import basic, cleaning, deep, panels, recommending, serving
+from . import proofs, report  # isort: skip
 
 __all__ = ["ENTRIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
 from ..plans.cleaning import clean_tables
-from ..schemas import LOAD_ORDER, TABLES
+from ..schemas import LOAD_ORDER, columns_of, key_of
 from ..session import scratch_path
 from ..sources import raw as X
 from ..sources import tables as S
@@ -108,7 +108,7 @@ _TIMES = {"user_behaviors": "event_time", "orders": "order_time"}
 
 def _steps(name: str) -> str:
     missing, illegal = _FLAGS[name]
-    cols = TABLES[name].columns
+    cols = columns_of(name)
     raw = _RAW_NAME.get(name, f"{name}_raw")
     part = _KEYS.get(name) or ", ".join(cols)
     fk = {f: f"({f} IS NOT NULL AND {f} NOT IN {q})" for f, q in _REFS[name].items()}
@@ -150,6 +150,19 @@ def _cleaned(spark, d):
 
 _add("A01_table_scan", lambda s, d: S.read_parquet(s, f"{d}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_quantity"], "lineitem"),
      "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+
+
+def _csv(spark, d):
+    """Customers written as CSV and read back by the column names and types of a table."""
+    path = scratch_path(spark, "csv")
+    c = table(spark, d, "customer")
+    S.write_csv(c.select(F.col("c_custkey").alias("order_id"), F.col("c_nationkey").alias("user_id"), F.lit("2024-01-05 10:00:00").alias("order_time"),
+                         F.col("c_acctbal").alias("total_amount"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("payment_method")), path)
+    return S.read_csv(spark, path, "orders").withColumn("order_time", F.date_format("order_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+_add("A01_csv_scan", _csv, """SELECT CAST(c_custkey AS VARCHAR) AS order_id, CAST(c_nationkey AS VARCHAR) AS user_id, '2024-01-05 10:00:00' AS order_time,
+ c_acctbal AS total_amount, c_mktsegment AS status, c_name AS payment_method FROM customer""")
 _add("A02_split_scan", lambda s, d: S.read_parquet(s, f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(
     F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity")),
     "SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1")
@@ -195,10 +208,9 @@ _add("A07_row_counts", lambda s, d: S.row_counts({t: table(s, d, t) for t in _CO
 
 
 def _record(spark, d):
-    span = table(spark, d, "events").agg(F.min("ts").alias("first_time"), F.max("ts").alias("last_time"),
-                                         F.count(F.lit(1)).alias("rows"))
-    return span.select(F.lit("events").alias("source"), F.date_format("first_time", "yyyy-MM-dd HH:mm:ss").alias("first_time"),
-                       F.date_format("last_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"), "rows")
+    """The record as the runs write it, from the facts of a table."""
+    facts = S.event_record("events", table(spark, d, "events"), "ts").first().asDict()
+    return S.run_record(spark, **facts).select("source", "first_time", "last_time", F.col("rows").cast("long").alias("rows"))
 
 
 _add("A08_run_record", _record, """SELECT 'events' AS source, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_time,
@@ -219,9 +231,8 @@ _add("B01_trim_text", lambda s, d: C.trim_text(X.raw_behaviors(s, d)).select("be
 
 def _flag(name, rule):
     def run(s, d):
-        spec = TABLES[name]
-        key = spec.key or "order_id"
-        return C.trim_text(X.raw_tables(s, d)[name]).select(key, rule(spec).alias("bad"))
+        key = key_of(name) or "order_id"
+        return C.trim_text(X.raw_tables(s, d)[name]).select(key, rule(name).alias("bad"))
     return run
 
 
@@ -242,9 +253,8 @@ _add("B05_enum_rule", _flag("user_behaviors", C.enum_rule), _flag_sql("user_beha
  OR device_type NOT IN ('mobile','pc','tablet') OR channel NOT IN ('organic','search','ads','campaign','recommendation')"""))
 _add("B06_bounds_rule", _flag("users", C.bounds_rule), _flag_sql("users", _num("age", "{n} < 18 OR {n} > 60")))
 _add("B06_bounds_rule_lines", _flag("order_items", C.bounds_rule), _flag_sql("order_items", _num("quantity", "{n} <= 0")))
-_add("B07_numeric_coercion", lambda s, d: X.raw_items(s, d).select(
-    "item_id", F.col("price").try_cast("double").alias("price"), F.col("stock").try_cast("double").alias("stock")),
-    _RAW + " SELECT item_id, try_cast(price AS DOUBLE) AS price, try_cast(stock AS DOUBLE) AS stock FROM items_raw")
+_add("B07_numeric_coercion", lambda s, d: C.numeric(X.raw_items(s, d), ["price", "stock"]).select("item_id", "price", "stock"),
+     _RAW + " SELECT item_id, try_cast(price AS DOUBLE) AS price, try_cast(stock AS DOUBLE) AS stock FROM items_raw")
 _add("B08_deduplicate", lambda s, d: C.deduplicate(C.trim_text(X.raw_users(s, d)), "user_id"),
      _RAW + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY user_id, age NULLS FIRST, gender NULLS FIRST,
  city NULLS FIRST, register_time, created_at, updated_at) AS rn FROM users_raw) SELECT * EXCLUDE (rn) FROM r WHERE rn = 1""")
@@ -253,17 +263,17 @@ _add("B08_deduplicate_rows", lambda s, d: C.deduplicate(X.raw_order_items(s, d),
 
 def _references(s, d):
     known = {"users": X.raw_users(s, d), "items": X.raw_items(s, d)}
-    flagged = C.flag_references(C.trim_text(X.raw_behaviors(s, d)), TABLES["user_behaviors"], known)
+    flagged = C.flag_references(C.trim_text(X.raw_behaviors(s, d)), "user_behaviors", known)
     return flagged.select("behavior_id", "user_id", "item_id", F.col("_fk_user_id").alias("bad_user"), F.col("_fk_item_id").alias("bad_item"))
 
 
 _add("B09_reference_rule", _references, _RAW + """ SELECT behavior_id, user_id, item_id,
  CAST(user_id NOT IN (SELECT user_id FROM users_raw) AS BIGINT) AS bad_user, CAST(item_id NOT IN (SELECT item_id FROM items_raw) AS BIGINT) AS bad_item
  FROM behaviors_raw""")
-_add("B10_self_reference", lambda s, d: C.flag_references(X.raw_categories(s, d), TABLES["categories"], {"categories": X.raw_categories(s, d)})
+_add("B10_self_reference", lambda s, d: C.flag_references(X.raw_categories(s, d), "categories", {"categories": X.raw_categories(s, d)})
      .select("category_id", "parent_id", F.col("_fk_parent_id").alias("bad")), _RAW + """ SELECT category_id, parent_id,
  CAST(parent_id IS NOT NULL AND parent_id NOT IN (SELECT category_id FROM categories_raw) AS BIGINT) AS bad FROM categories_raw""")
-_add("B11_time_rule", lambda s, d: C.flag_times(C.trim_text(X.raw_behaviors(s, d)), TABLES["user_behaviors"], C.trim_text(X.raw_users(s, d)), DATA_END)
+_add("B11_time_rule", lambda s, d: C.flag_times(C.trim_text(X.raw_behaviors(s, d)), "user_behaviors", C.trim_text(X.raw_users(s, d)), DATA_END)
      .select("behavior_id", F.col("_early").alias("early"), F.col("_late").alias("late")),
      _RAW + f""", r AS (SELECT user_id, min(try_cast(register_time AS TIMESTAMP)) AS since FROM users_raw GROUP BY 1)
  SELECT behavior_id, CAST(coalesce(try_cast(event_time AS TIMESTAMP) < since, FALSE) AS BIGINT) AS early,

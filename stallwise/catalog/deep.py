@@ -61,7 +61,7 @@ SELECT item_id, round((score - (SELECT min(score) FROM s)) / ((SELECT max(score)
 def _max_scaled(w):
     scores = _item_scores(w)
     high = E.scalar_row(scores, high=F.max("score"))["high"]
-    return scores.select("item_id", F.round(F.when(high > 0, F.col("score") / high).otherwise(0.0), 6).alias("scaled"))
+    return scores.select("item_id", F.round(E.by_maximum("score", high), 6).alias("scaled"))
 
 
 register("C04_max_normalise", _max_scaled, _BY_ITEM + "SELECT item_id, round(score / (SELECT max(score) FROM s), 6) AS scaled FROM s")
@@ -145,6 +145,11 @@ register("C18_weights_argument", lambda w: w.behaviors.groupBy("item_id").agg(
     F.sum(E.weight_of("behavior_type", parse_weights("pv:1,click:2.5,buy:6"))).alias("score")), """
 SELECT item_id, sum(CASE behavior_type WHEN 'pv' THEN 1.0 WHEN 'click' THEN 2.5 WHEN 'buy' THEN 6.0 ELSE 0.0 END)::DOUBLE AS score FROM behaviors GROUP BY 1""")
 
+register("C18_default_weights", lambda w: w.behaviors.groupBy("item_id").agg(
+    F.sum(E.weight_of("behavior_type", parse_weights(""))).alias("score")), f"""
+SELECT item_id, sum(CASE behavior_type {' '.join(f"WHEN '{t}' THEN {float(x)}" for t, x in BEHAVIOR_WEIGHTS.items())} ELSE 0.0 END)::DOUBLE AS score
+FROM behaviors GROUP BY 1""")
+
 # ---- paths -----------------------------------------------------------------------------------
 register("E03_top_paths", lambda w: P.top_paths(w.behaviors), SESSION_SQL + f"""
 SELECT *, {sd('buy_sessions', 'sessions')} AS final_buy_rate FROM ptable ORDER BY sessions DESC, path LIMIT 10""")
@@ -336,47 +341,3 @@ SELECT pj.item_id, pj.item_name, category_id, brand, round(pj.price, 2) AS price
 for _world, _tag in (("event", ""), ("order", "_orders")):
     register(f"E17_user_profile{_tag}", _flat_user, _PROFILE, _world)
     register(f"E18_item_profile{_tag}", _flat_item, _ITEM_PROFILE, _world)
-
-
-def _findings(w):
-    bins, channels = _bins(w), K.channel_analysis(w.users, w.behaviors, w.orders)
-    devices = K.device_analysis(w.behaviors, w.orders)
-    life = U.lifecycle_distribution(U.user_lifecycle(w.users, w.behaviors, w.orders))
-    segments = U.rfm_segments(U.rfm(w.orders))
-    paths = P.top_paths(w.behaviors, top_n=1)
-    scale, funnel = A.user_scale(w.users, w.behaviors), A.conversion_funnel(w.behaviors)
-    top_item = V.item_ranking(w.items, w.behaviors, w.order_items, w.orders, 1)
-    return R.findings([
-        R.fact(scale, "user_scale", "pay_rate", F.lit("all"), F.col("pay_rate")),
-        R.fact(funnel.filter("step > 1"), "funnel", "step_conversion_rate", F.col("stage"), F.col("step_conversion_rate")),
-        R.fact(segments, "rfm", "count", F.col("segment"), F.col("count")),
-        R.fact(life, "lifecycle", "ratio", F.col("stage"), F.col("ratio")),
-        R.fact(paths, "purchase_path", "sessions", F.col("path"), F.col("sessions")),
-        R.fact(top_item, "item_ranking", "heat_score", F.col("item_name"), F.col("heat_score")),
-        R.fact(bins, "price", "buy_rate", F.col("bin"), F.col("buy_rate"), F.struct("buy_rate", -F.col("bin"))),
-        R.fact(channels, "channel", "buy_rate", F.col("channel"), F.col("buy_rate"), F.struct("buy_rate", "channel")),
-        R.fact(devices.filter("device = 'mobile'"), "device", "behavior_ratio", F.col("device"), F.col("behavior_ratio")),
-    ])
-
-
-register("E19_findings", _findings, RFM_SQL + LIFE_SQL + SESSION_SQL + PRICE_SQL + f"""
-, fc AS (SELECT {counts()} FROM behaviors),
-ch AS (SELECT channel, {sd("count(*) FILTER (behavior_type = 'buy')", "count(*) FILTER (behavior_type = 'pv')")} AS r FROM behaviors GROUP BY 1),
-ic AS (SELECT item_id, {counts()} FROM behaviors GROUP BY 1),
-ig AS (SELECT item_id, sum(amount) AS gmv FROM w_lines WHERE order_id IN (SELECT order_id FROM w_orders WHERE status = 'paid') GROUP BY 1),
-ih AS (SELECT i.item_id, item_name, round(coalesce(pv + 2*click + 3*collect + 4*cart + 5*buy, 0) + coalesce(gmv, 0.0) / 100.0, 6) AS h
-       FROM w_items i LEFT JOIN ic USING (item_id) LEFT JOIN ig USING (item_id))
-SELECT 'user_scale' AS domain, 'pay_rate' AS metric, 'all' AS label,
-  {sd("count(DISTINCT CASE WHEN behavior_type = 'buy' THEN user_id END)", 'count(DISTINCT user_id)')} AS value FROM behaviors
-UNION ALL SELECT 'funnel', 'step_conversion_rate', 'click', {sd('click', 'pv')} FROM fc
-UNION ALL SELECT 'funnel', 'step_conversion_rate', 'collect', {sd('collect', 'click')} FROM fc
-UNION ALL SELECT 'funnel', 'step_conversion_rate', 'cart', {sd('cart', 'collect')} FROM fc
-UNION ALL SELECT 'funnel', 'step_conversion_rate', 'buy', {sd('buy', 'cart')} FROM fc
-UNION ALL SELECT 'rfm', 'count', segment, count(*) FROM rfm GROUP BY segment
-UNION ALL SELECT 'lifecycle', 'ratio', s.stage, {sd('count(user_id)', '(SELECT count(*) FROM life)')}
-  FROM (SELECT unnest(['高价值用户','新用户','成长期','活跃用户','沉默用户','流失风险']) AS stage) s LEFT JOIN life USING (stage) GROUP BY s.stage
-UNION ALL SELECT * FROM (SELECT 'purchase_path', 'sessions', path, sessions FROM ptable ORDER BY sessions DESC, path LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'item_ranking', 'heat_score', item_name, round(h, 2) FROM ih ORDER BY h DESC, item_id LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'price', 'buy_rate', CAST(bin AS VARCHAR), buy_rate FROM pbins ORDER BY buy_rate DESC, bin LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'channel', 'buy_rate', channel, r FROM ch ORDER BY r DESC, channel DESC LIMIT 1)
-UNION ALL SELECT 'device', 'behavior_ratio', 'mobile', {sd("count(*) FILTER (device_type = 'mobile')", 'count(*)')} FROM behaviors""")

@@ -17,6 +17,7 @@ from .sqltext import TYPES, counts, days_between, elapsed, rnd, sd, zeroed
 
 _N = [f"n_{t}" for t in TYPES]
 _ONE_END = ", ends AS (SELECT max(event_date) AS obs_end FROM behaviors)"
+# the event table holds 30 days: shorter windows than the defaults are what fits several snapshots
 _PANEL = SnapshotSettings(observation_days=14, label_days=7, step_days=3)
 _PANEL_ENDS = """
 , rng AS (SELECT CAST(min(event_date) + 13 AS DATE) AS lo, CAST(max(event_date) - 7 AS DATE) AS hi FROM behaviors),
@@ -141,7 +142,7 @@ register("G05_churn_label", lambda w: G.active_after(w.behaviors, w.orders, G.sn
 register("G06_churn_dataset", lambda w: _rounded(G.churn_dataset(*_tables(w), _PANEL)),
          _PANEL_ENDS + user_feature_sql(14) + _ALIVE + _PANEL_OUT.format(label="b.user_id IS NULL")
          + "LEFT JOIN alive b ON b.user_id = f.user_id AND b.obs_end = f.obs_end WHERE f.total_behaviors > 0")
-register("G07_time_split", lambda w: G.time_split(G.purchase_dataset(*_tables(w), _PANEL)).groupBy("obs_end", "split").agg(
+register("G07_time_split", lambda w: _split(w).groupBy("obs_end", "split").agg(
     F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives")),
     _PANEL_ENDS + _BUYERS + """
 , k AS (SELECT obs_end, row_number() OVER (ORDER BY obs_end) AS p, (SELECT count(*) FROM ends) AS n FROM ends),
@@ -173,46 +174,46 @@ register("G13_risk_level", lambda w: _scored(w).select("user_id", "obs_end", M.r
 register("G15_latest_per_user", lambda w: M.latest_per_user(_scored(w)), _SCORED + """
 SELECT user_id, CAST(obs_end AS VARCHAR) AS obs_end, label, p AS probability FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY obs_end DESC) = 1""")
 
-_FAST = ModelSettings(trees=20, max_depth=5, max_iter=100)
+_FULL = ModelSettings()  # the documented models, uncut
 
 
 def _split(w):
-    return G.time_split(G.purchase_dataset(*_tables(w), _PANEL))
+    return G.time_split(G.purchase_dataset(*_tables(w), _PANEL), days=G.snapshot_ends(w.behaviors, _PANEL))
 
 
 def _churn_split(w):
-    return G.time_split(G.churn_dataset(*_tables(w), _PANEL))
+    return G.time_split(G.churn_dataset(*_tables(w), _PANEL), days=G.snapshot_ends(w.behaviors, _PANEL))
 
 
 def _churn_scores(w):
     split = cut_lineage(_churn_split(w))
-    models = M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression")
+    models = M.fit_models(split.filter("split = 'train'"), _FULL, only="logistic_regression")
     return M.score_latest_snapshot(models["logistic_regression"], split)
 
 
 def _purchase_scores(w):
     split = cut_lineage(_split(w))
-    models = M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression")
+    models = M.fit_models(split.filter("split = 'train'"), _FULL, only="logistic_regression")
     return M.score_latest_per_user(models["logistic_regression"], split)
 
 
-register("G08_G09_model_metrics", lambda w: M.train_and_evaluate(_split(w), _FAST)[1])
-register("G11_train_churn", lambda w: M.train_and_evaluate(_churn_split(w), _FAST)[1])
-register("G12_feature_importance", lambda w: M.train_and_evaluate(_split(w), _FAST)[2])
+register("G08_G09_model_metrics", lambda w: M.train_and_evaluate(_split(w), _FULL)[1])
+register("G11_train_churn", lambda w: M.train_and_evaluate(_churn_split(w), _FULL)[1])
+register("G12_feature_importance", lambda w: M.train_and_evaluate(_split(w), _FULL)[2])
 
 
 def _model_round_trip(w):
     """Scores of a model that was saved and loaded again."""
     split = cut_lineage(_split(w))
     folder = scratch_path(split.sparkSession, "models")
-    save_models(M.fit_models(split.filter("split = 'train'"), _FAST, only="logistic_regression"), folder)
+    save_models(M.fit_models(split.filter("split = 'train'"), _FULL, only="logistic_regression"), folder)
     return M.score_latest_per_user(load_model(folder, "logistic_regression"), split)
 
 
 register("A11_model_round_trip", _model_round_trip)
 register("G14_churn_scores", _churn_scores)
 register("G15_purchase_scores", _purchase_scores)
-register("G16_best_model", lambda w: M.best_model(M.train_and_evaluate(_split(w), _FAST)[1]))
+register("G16_best_model", lambda w: M.best_model(M.train_and_evaluate(_split(w), _FULL)[1]))
 register("E14_segmentation_features", lambda w: M.segmentation_features(w.behaviors, w.orders), f"""
 , a AS (SELECT user_id, {counts()}, max(event_date) AS l FROM behaviors GROUP BY 1),
 p AS (SELECT user_id, count(*) AS purchase_frequency, round(sum(total_amount), 2) AS total_amount FROM w_orders WHERE status = 'paid' GROUP BY 1),

@@ -14,7 +14,7 @@ from .registry import register
 from .sqltext import TYPES, rnd
 
 CFG = RecommendSettings()
-EVAL = EvaluationSettings(max_users=None)
+EVAL = EvaluationSettings()
 
 
 def weight_case(weights=CFG.weights) -> str:

@@ -10,12 +10,12 @@ from ..operators import models as M
 from ..operators import profiles as R
 from ..operators.recommend import RECOMMENDERS
 from ..plans.recommend import batch_recommendations
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..streaming import indicators as S
 from .basic import _GMV, _GRAINS, _PAID
 from .cleaning import _add
 from .deep import _ITEM_PROFILE, SESSION_SQL
-from .panels import _FAST, _churn_split, _split
+from .panels import _FULL, _churn_split, _split
 from .recommending import CFG, EVAL, HYBRID_SQL, _KNOWN, _active, base_sql, cf_sql, content_sql, global_topk_sql, personal_topk_sql
 from .registry import register
 from .sqltext import TYPES, sd
@@ -48,8 +48,8 @@ SELECT (SELECT count(*) FROM w_users) AS total_users, b.active_users, b.buying_u
 
 def _profiles_with_scores(w):
     purchase, churn = cut_lineage(_split(w)), cut_lineage(_churn_split(w))
-    p_model = M.fit_models(purchase.filter("split = 'train'"), _FAST, only="logistic_regression")
-    c_model = M.fit_models(churn.filter("split = 'train'"), _FAST, only="logistic_regression")
+    p_model = M.fit_models(purchase.filter("split = 'train'"), _FULL, only="logistic_regression")
+    c_model = M.fit_models(churn.filter("split = 'train'"), _FULL, only="logistic_regression")
     profiles = R.user_profile(w.users, w.behaviors, w.orders, w.order_items, w.items)
     joined = L.profile_with_predictions(
         profiles, M.score_latest_per_user(p_model["logistic_regression"], purchase),
@@ -72,9 +72,9 @@ register("J08_lists_side_by_side", lambda w: L.lists_side_by_side(
 
 
 def _metrics(w):
-    purchase = M.train_and_evaluate(_split(w), _FAST)[1]
-    churn = M.train_and_evaluate(_churn_split(w), _FAST)[1]
-    ranking = I.compare_algorithms(w.behaviors, w.items, w.orders, w.order_items, EVAL, algorithms=("popular", "itemcf"))
+    purchase = M.train_and_evaluate(_split(w), _FULL)[1]
+    churn = M.train_and_evaluate(_churn_split(w), _FULL)[1]
+    ranking = I.compare_algorithms(w.behaviors, w.items, w.orders, w.order_items, EVAL)
     return L.metric_summary({"purchase": purchase, "churn": churn}, ranking)
 
 
@@ -96,7 +96,11 @@ _add("K01_stream_page_views", lambda s, d: _stamp(S.run_available(S.page_views(S
 WITH w AS (SELECT date_trunc('hour', ts) AS a, count(*) AS pv FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(a + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, pv FROM w
 WHERE {_closed("event_type = 'view'", 'a + INTERVAL 1 HOUR')}""")
-_add("K02_stream_active_users", lambda s, d: _stamp(S.run_available(S.active_users(S.behavior_stream(_events(s, d)))), "window_start", "window_end"))
+_add("K02_stream_active_users", lambda s, d: _stamp(S.run_available(S.active_users(S.behavior_stream(_events(s, d)))), "window_start", "window_end"), f"""
+WITH h AS (SELECT date_trunc('hour', ts) + CASE WHEN extract('minute' FROM ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS a, user_id FROM events),
+w AS (SELECT a, user_id FROM h UNION ALL SELECT a - INTERVAL 30 MINUTE, user_id FROM h)
+SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(a + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+ count(DISTINCT user_id) AS active_users FROM w WHERE {_closed('TRUE', 'a + INTERVAL 1 HOUR')} GROUP BY a""")
 _add("K03_stream_hot_items", lambda s, d: _stamp(S.run_top_items(S.item_heat(S.behavior_stream(_events(s, d)))), "window_start"), f"""
 WITH h AS (SELECT date_trunc('day', ts) AS a, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id,
   sum(CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 WHEN 'purchase' THEN 5.0 ELSE 0.0 END)::DOUBLE AS heat FROM events GROUP BY 1, 2),
@@ -116,3 +120,18 @@ SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS e
 HAVING {_closed('TRUE', 'max(ts) + INTERVAL 30 MINUTE')}""")
 _add("K06_stream_deduplicated", lambda s, d: S.run_available(S.deduplicated(S.behavior_stream(_events(s, d)))).select("behavior_id", "user_id", "behavior_type"), """
 SELECT event_id AS behavior_id, user_id, CASE event_type WHEN 'view' THEN 'pv' WHEN 'purchase' THEN 'buy' ELSE event_type END AS behavior_type FROM events""")
+
+
+def _late(spark, d):
+    """All events first; then every seventh one again, under a new id, of which those behind the watermark are dropped."""
+    folder, out, state = (scratch_path(spark, n) for n in ("arrivals", "unique", "state"))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    events.write.parquet(folder)
+    S.run_available(S.deduplicated(S.behavior_stream(S.event_stream(spark, folder, "part*.parquet"))), out, state)
+    events.where("event_id % 7 = 0").withColumn("event_id", -F.col("event_id") - 1).write.mode("append").parquet(folder)
+    rows, late = S.run_counting_late(S.deduplicated(S.behavior_stream(S.event_stream(spark, folder, "part*.parquet"))), out, state)
+    return rows.agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(late).cast("long"))
+
+
+_add("K07_late_rows", _late, """WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events)
+SELECT count(*) + count(*) FILTER (event_id % 7 = 0 AND ts > w) AS kept, count(*) FILTER (event_id % 7 = 0 AND ts <= w) AS late FROM events, m""")

@@ -51,6 +51,12 @@ def weight_of(type_col, weights: dict[str, float]) -> Column:
     return out
 
 
+def by_maximum(value: Column | str, top: Column) -> Column:
+    """Value over the largest value; 0 where nothing is above 0."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(top > 0, c / top).otherwise(F.lit(0.0))
+
+
 def min_max(value, low, high) -> Column:
     """Scale to [0, 1]; a flat range gives 0."""
     value, low, high = as_col(value), as_col(low), as_col(high)

@@ -7,9 +7,10 @@ per key.  A key with a third of all rows is therefore spread over as many tasks
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scalar import micros_between
 
 
@@ -32,22 +33,36 @@ def with_previous(df: DataFrame, key: list[str], time: str, tie: str, carry: lis
 
 def sessions(df: DataFrame, gap_minutes: int, key: str = "user_id", time: str = "event_time",
              tie: str = "behavior_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``_prev``, ``new_session`` and ``session_start``; a gap of exactly the limit still continues."""
-    df = with_previous(df.filter(F.col(time).isNotNull()), [key], time, tie, [time, *carry])
-    gap = micros_between(time, F.col(f"_prev.{time}"))
-    df = df.withColumn("new_session", F.col("_prev").isNull() | (gap > gap_minutes * 60_000_000))
+    """Adds ``_prev``, ``new_session`` and ``session_start``; a gap of exactly the limit still continues.
+
+    One summary row per (key, bucket) carries all that crosses its borders: the last row, and where the last session began.
+    """
+    kept = F.struct(time, *carry)
+    df = df.filter(F.col(time).isNotNull()).withColumn("_bucket", F.date_trunc("hour", time).cast("timestamp_ntz"))
     inner = Window.partitionBy(key, "_bucket").orderBy(time, tie)
-    outer = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.when(F.col("new_session"), F.col(time))
-    open_before = (
-        df.groupBy(key, "_bucket").agg(F.max(begins).alias("_begin"))
-        .withColumn("_open", F.max("_begin").over(outer)).drop("_begin")
-    )
-    return (
-        df.withColumn("_own", F.max(begins).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(open_before, [key, "_bucket"], "left")
-        .withColumn("session_start", F.coalesce("_own", "_open")).drop("_own", "_open")
-    )
+    outer = Window.partitionBy(key).orderBy("_bucket")
+    limit = gap_minutes * 60_000_000
+    df = df.withColumn("_inside", F.lag(kept).over(inner))
+    late = F.col("_inside").isNotNull() & (micros_between(time, F.col(f"_inside.{time}")) > limit)
+    borders = df.groupBy(key, "_bucket").agg(
+        F.min(time).alias("_first"), F.max_by(kept, F.struct(time, tie)).alias("_last"), F.max(F.when(late, F.col(time))).alias("_begin"))
+    borders = borders.withColumn("_before", F.lag("_last").over(outer))
+    opens = F.col("_before").isNull() | (micros_between("_first", F.col(f"_before.{time}")) > limit)
+    begun = F.coalesce("_begin", F.when(opens, F.col("_first")))
+    borders = borders.select(key, "_bucket", "_before", F.max(begun).over(
+        outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    df = df.join(borders, [key, "_bucket"], "left").withColumn("_prev", F.coalesce("_inside", "_before"))
+    df = df.withColumn("new_session", F.col("_prev").isNull() | (micros_between(time, F.col(f"_prev.{time}")) > limit))
+    own = F.max(F.when(F.col("new_session"), F.col(time))).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("session_start", F.coalesce(own, "_open")).drop("_inside", "_before", "_open")
+
+
+def even_buckets(df: DataFrame, order: list[Column | str], name: str = "bucket") -> DataFrame:
+    """``name``: numbers that rise with the order and hold about equally many rows each, however the values cluster.
+
+    The split comes from sampled ranges, so the table is written once and every later pass sees the same split.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
 
 
 def running_total(df: DataFrame, bucket: str, order: list, columns: list[str],

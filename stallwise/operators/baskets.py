@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairing import both_ways, pair_sums
 from ..functions.scalar import scalar_row
+from ..session import cut_lineage
 from ..settings import BasketSettings
 from .revenue import paid_lines
 
@@ -18,7 +19,7 @@ def pair_rules(baskets: DataFrame, member: str, total_orders, cfg: BasketSetting
     can reach it, so what is left of even the largest order is bounded by the limit, not by the data.
     """
     n = scalar_row(baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("k")), n=F.count(F.lit(1)))["n"]
-    frequent = (
+    frequent = cut_lineage(
         baskets.groupBy(member).agg(F.count(F.lit(1)).alias("n_one"))
         .filter(F.col("n_one") / n >= cfg.min_support)
     )
@@ -38,7 +39,8 @@ def pair_rules(baskets: DataFrame, member: str, total_orders, cfg: BasketSetting
 
 
 def _order_items_once(order_items: DataFrame, orders: DataFrame) -> DataFrame:
-    return paid_lines(order_items, orders).select("order_id", "item_id").distinct()
+    """Written once: members, pairs and totals all start from it."""
+    return cut_lineage(paid_lines(order_items, orders).select("order_id", "item_id").distinct())
 
 
 def _total_orders(baskets: DataFrame):
@@ -64,7 +66,7 @@ def category_rules(order_items: DataFrame, orders: DataFrame, items: DataFrame,
     """Support is over orders with a known category; ``count`` scales it to all paid orders."""
     baskets = _order_items_once(order_items, orders)
     dim = items.select("item_id", "category_id").filter(F.col("category_id").isNotNull())
-    by_category = baskets.join(dim, "item_id").select("order_id", "category_id").distinct()
+    by_category = cut_lineage(baskets.join(dim, "item_id").select("order_id", "category_id").distinct())
     rules = pair_rules(by_category, "category_id", _total_orders(baskets), cfg)
     return rules.select(F.concat(F.lit("分类"), "a").alias("antecedent"), F.concat(F.lit("分类"), "b").alias("consequent"),
                         "support", "confidence", "lift", "count")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import cents
-from ..schemas import TABLES, TableSpec, require_columns
+from ..schemas import TABLES, columns_of, key_of, references, require_columns, ruled, times_of
 
 _BLANKS = " \t\n\r\f\v"
 
@@ -26,33 +26,24 @@ def trim_text(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def missing_rule(spec: TableSpec) -> Column:
-    return _any([F.col(c).isNull() | (F.col(c).cast("string") == "") for c in spec.required])
+def missing_rule(table: str) -> Column:
+    return _any([F.col(c).isNull() | (F.col(c).cast("string") == "") for c in ruled(table, "required")])
 
 
-def time_parse_rule(spec: TableSpec) -> Column:
-    return _any([F.col(c).isNotNull() & F.col(c).try_cast("timestamp_ntz").isNull() for c in spec.timestamps])
+def time_parse_rule(table: str) -> Column:
+    return _any([F.col(c).isNotNull() & F.col(c).try_cast("timestamp_ntz").isNull() for c in times_of(table)])
 
 
-def enum_rule(spec: TableSpec) -> Column:
-    return _any([
-        F.coalesce(~F.col(c).cast("string").isin(list(allowed)), F.lit(False))
-        for c, allowed in spec.enums.items()])
+def enum_rule(table: str) -> Column:
+    return _any([F.coalesce(~F.col(c).cast("string").isin(values), F.lit(False)) for c, values in ruled(table, "allowed").items()])
 
 
-def bounds_rule(spec: TableSpec) -> Column:
-    rules = []
-    for c in spec.bounded:
-        number = F.col(c).try_cast("double")
-        bad = number.isNull()
-        if c in spec.at_least:
-            bad = bad | (number < spec.at_least[c])
-        if c in spec.above:
-            bad = bad | (number <= spec.above[c])
-        if c in spec.at_most:
-            bad = bad | (number > spec.at_most[c])
-        rules.append(F.col(c).isNotNull() & F.coalesce(bad, F.lit(True)))
-    return _any(rules)
+def bounds_rule(table: str) -> Column:
+    """A value that is given must be a number within its bounds."""
+    breaks = {"low": lambda n, x: n < x, "high": lambda n, x: n > x, "over": lambda n, x: n <= x}
+    bad = [F.col(c).isNotNull() & F.coalesce(test(F.col(c).try_cast("double"), bound), F.lit(True))
+           for rule, test in breaks.items() for c, bound in ruled(table, rule).items()]
+    return _any(bad)
 
 
 def rebuild_date_hour(df: DataFrame) -> DataFrame:
@@ -64,21 +55,21 @@ def rebuild_date_hour(df: DataFrame) -> DataFrame:
     })
 
 
-def judge(raw: DataFrame, spec: TableSpec) -> DataFrame:
+def judge(raw: DataFrame, table: str) -> DataFrame:
     """Trimmed rows with the flags ``_missing`` and ``_illegal``.
 
     Missing is judged on what came in; date and hour are rebuilt only afterwards.
     """
-    require_columns(raw, spec.columns, spec.name)
-    df = trim_text(raw).withColumn("_missing", missing_rule(spec))
-    df = df.withColumn("_bad_time", time_parse_rule(spec))
-    if spec.rebuild_date_hour:
+    require_columns(raw, columns_of(table), table)
+    df = trim_text(raw).withColumn("_missing", missing_rule(table))
+    df = df.withColumn("_bad_time", time_parse_rule(table))
+    if ruled(table, "follows"):
         df = rebuild_date_hour(df)
     return df.withColumn(
-        "_illegal", F.col("_bad_time") | enum_rule(spec) | bounds_rule(spec)).drop("_bad_time")
+        "_illegal", F.col("_bad_time") | enum_rule(table) | bounds_rule(table)).drop("_bad_time")
 
 
-def first_copies(judged: DataFrame, spec: TableSpec, row_order: list[str] | None = None) -> DataFrame:
+def first_copies(judged: DataFrame, table: str, row_order: list[str] | None = None) -> DataFrame:
     """One row per key: the first copy, with how many copies there were and how they fared.
 
     An aggregate rather than a window: copies of a hot key are reduced before the shuffle.
@@ -87,12 +78,13 @@ def first_copies(judged: DataFrame, spec: TableSpec, row_order: list[str] | None
     tallies = [F.count(F.lit(1)).alias("_copies"), F.count_if("_missing").alias("_n_missing"),
                F.count_if("_illegal").alias("_n_illegal")]
     flags = ["_missing", "_illegal"]
-    if spec.key is None:
-        columns = spec.columns
+    key = key_of(table)
+    if key is None:
+        columns = columns_of(table)
         return judged.groupBy(*columns).agg(
             *[F.first(f).alias(f) for f in flags], *tallies)
     order = row_order or data
-    grouped = judged.groupBy(F.col(spec.key).alias("_key")).agg(
+    grouped = judged.groupBy(F.col(key).alias("_key")).agg(
         F.min_by(F.struct(*data, *flags), F.struct(*order)).alias("_row"), *tallies)
     return grouped.select("_row.*", "_copies", "_n_missing", "_n_illegal")
 
@@ -105,21 +97,21 @@ def deduplicate(df: DataFrame, key: str | None, row_order: list[str] | None = No
         F.min_by(F.struct(*columns), F.struct(*(row_order or columns))).alias("_row")).select("_row.*")
 
 
-def flag_references(df: DataFrame, spec: TableSpec, known: dict[str, DataFrame]) -> DataFrame:
+def flag_references(df: DataFrame, table: str, known: dict[str, DataFrame]) -> DataFrame:
     """``_fk_<field>`` is true where the field points to no row; null references pass.
 
-    ``known[table]`` is a clean table holding the referenced key.
+    ``known`` holds, by name, clean tables with the referenced keys.
     """
-    for field, (table, key) in spec.references.items():
-        keys = known[table].select(F.col(key).alias(field)).distinct().withColumn("_found", F.lit(True))
+    for field, (target, key) in references(table).items():
+        keys = known[target].select(F.col(key).alias(field)).distinct().withColumn("_found", F.lit(True))
         df = df.join(keys, field, "left").withColumn(
             f"_fk_{field}", F.col(field).isNotNull() & F.col("_found").isNull()).drop("_found")
     return df
 
 
-def flag_times(df: DataFrame, spec: TableSpec, users: DataFrame | None, data_end: str | None) -> DataFrame:
+def flag_times(df: DataFrame, table: str, users: DataFrame | None, data_end: str | None) -> DataFrame:
     """``_early``: before the user registered; ``_late``: after the end of the data."""
-    column = next((c for c in ("event_time", "order_time") if c in spec.columns), None)
+    column = next((c for c in ("event_time", "order_time") if c in columns_of(table)), None)
     early, late = F.lit(False), F.lit(False)
     if column:
         ts = F.col(column).try_cast("timestamp_ntz")
@@ -133,24 +125,29 @@ def flag_times(df: DataFrame, spec: TableSpec, users: DataFrame | None, data_end
     return df.withColumns({"_early": early, "_late": late}).drop("_since")
 
 
-def examine(raw: DataFrame, spec: TableSpec, known: dict[str, DataFrame], data_end: str | None = None,
+def examine(raw: DataFrame, table: str, known: dict[str, DataFrame], data_end: str | None = None,
             row_order: list[str] | None = None) -> DataFrame:
     """First copies with all flags; both the clean table and the report come from this frame."""
-    df = first_copies(judge(raw, spec), spec, row_order)
-    if any(table == spec.name for table, _ in spec.references.values()):
-        known = {**known, spec.name: trim_text(raw)}
-    df = flag_references(df, spec, known)
-    df = flag_times(df, spec, known.get("users") if spec.name != "users" else None, data_end)
-    fk = _any([F.col(f"_fk_{f}") for f in spec.references])
+    df = first_copies(judge(raw, table), table, row_order)
+    if any(target == table for target, _ in references(table).values()):
+        known = {**known, table: trim_text(raw)}
+    df = flag_references(df, table, known)
+    df = flag_times(df, table, known.get("users") if table != "users" else None, data_end)
+    fk = _any([F.col(f"_fk_{f}") for f in references(table)])
     sound = ~F.col("_missing") & ~F.col("_illegal")
     return df.withColumns({
         "_fk": sound & fk, "_time": sound & ~fk & (F.col("_early") | F.col("_late")),
         "_kept": sound & ~fk & ~(F.col("_early") | F.col("_late"))})
 
 
-def clean_rows(examined: DataFrame, spec: TableSpec) -> DataFrame:
+def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns as numbers; what is no number becomes null."""
+    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
+def clean_rows(examined: DataFrame, table: str) -> DataFrame:
     """Kept rows in the types of the table."""
-    kinds = {f.name: f.dataType for f in spec.schema.fields}
+    kinds = {f.name: f.dataType for f in TABLES[table].fields}
     def typed(name: str) -> Column:
         kind = kinds[name]
         if isinstance(kind, T.TimestampType):
@@ -158,18 +155,18 @@ def clean_rows(examined: DataFrame, spec: TableSpec) -> DataFrame:
         if isinstance(kind, T.IntegerType):
             return F.col(name).try_cast("double").cast("int").alias(name)
         return F.col(name).try_cast(kind).alias(name)
-    return examined.filter("_kept").select(*[typed(c) for c in spec.columns])
+    return examined.filter("_kept").select(*[typed(c) for c in columns_of(table)])
 
 
-def quality_row(examined: DataFrame, spec: TableSpec) -> DataFrame:
+def quality_row(examined: DataFrame, table: str) -> DataFrame:
     """Counts of one table.  Missing, illegal and duplicate rows may overlap."""
-    fk = [F.count_if(~F.col("_missing") & ~F.col("_illegal") & F.col(f"_fk_{f}")) for f in spec.references]
-    names = list(spec.references)
+    fk = [F.count_if(~F.col("_missing") & ~F.col("_illegal") & F.col(f"_fk_{f}")) for f in references(table)]
+    names = list(references(table))
     detail = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in zip(names, fk)]) \
         if names else F.lit("")
     live = ~F.col("_missing") & ~F.col("_illegal") & ~_any([F.col(f"_fk_{f}") for f in names])
     return examined.agg(
-        F.lit(spec.name).alias("table_name"),
+        F.lit(table).alias("table_name"),
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("source_rows"),
         F.coalesce(F.sum("_n_missing"), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
@@ -184,7 +181,7 @@ def quality_row(examined: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def quality_report(examined: dict[str, DataFrame]) -> DataFrame:
-    rows = [quality_row(df, TABLES[name]) for name, df in examined.items()]
+    rows = [quality_row(df, name) for name, df in examined.items()]
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scalar_row
@@ -39,25 +39,28 @@ def ground_truth(test: DataFrame) -> DataFrame:
     return test.select("user_id", "item_id").distinct()
 
 
-def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """Precision, recall, F1, hit rate and NDCG at ``k`` per user with a ground truth."""
+def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10, by: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall, F1, hit rate and NDCG at ``k`` per user with a ground truth.
+
+    With ``by``, ``recs`` holds several lists told apart by that column, and each of ``names`` is measured for every user.
+    """
+    keys = [by] if by else []
     relevant = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     gain = F.lit(1.0) / F.log2(F.col("rank") + 1.0)
     hits = (
         recs.filter(F.col("rank") <= k).join(truth, ["user_id", "item_id"], "left_semi")
-        .groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(gain).alias("dcg"))
+        .groupBy(*keys, "user_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(gain).alias("dcg"))
     )
     ideal = F.array(*[F.lit(sum(1.0 / math.log2(i + 2) for i in range(n))) for n in range(1, k + 1)])
     if by:
-        groups = recs.select(*by).distinct().groupBy().agg(F.collect_set(F.struct(*by)).alias("g")).scalar()
-        relevant = relevant.withColumn("g", F.explode(groups)).select("user_id", "n_relevant", "g.*")
-    table = relevant.join(hits, [*by, "user_id"], "left").fillna(0, subset=["hits", "dcg"])
+        relevant = relevant.withColumn(by, F.explode(F.array(*[F.lit(n) for n in names])))
+    table = relevant.join(hits, [*keys, "user_id"], "left").fillna(0, subset=["hits", "dcg"])
     precision = F.col("hits") / F.lit(float(max(1, k)))
     recall = F.col("hits") / F.col("n_relevant")
     f1 = F.when(F.col("hits") > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
     ndcg = F.col("dcg") / F.element_at(ideal, F.least("n_relevant", F.lit(k)).cast("int"))
     return table.select(
-        *by, "user_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
+        *keys, "user_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
         F.round(f1, 6).alias("f1"), (F.col("hits") > 0).cast("double").alias("hit_rate"), F.round(ndcg, 6).alias("ndcg"))
 
 
@@ -79,35 +82,59 @@ def evaluate(recs: DataFrame, truth: DataFrame, items: DataFrame, k: int = 10) -
         "coverage", coverage(recs, items, k))
 
 
+def evaluate_lists(lists: DataFrame, truth: DataFrame, items: DataFrame, k: int, by: str, names: tuple[str, ...]) -> DataFrame:
+    """``evaluate`` for several lists at once: one row per name, from one pass over all of them."""
+    users = truth.select("user_id").distinct()
+    lists = lists.join(users, "user_id", "left_semi")
+    means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 4).alias(m) for m in METRICS]
+    rows = ranking_metrics(lists, truth, k, by, names).groupBy(by).agg(*means, F.count(F.lit(1)).alias("n_users"))
+    total = scalar_row(items.select("item_id"), n=F.count(F.lit(1)))["n"]
+    shown = lists.filter(F.col("rank") <= k).select(by, "item_id").distinct().join(
+        items.select("item_id").distinct(), "item_id", "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("shown"))
+    every = items.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias(by))
+    share = F.round(F.coalesce(F.try_divide(F.coalesce("shown", F.lit(0)), total), F.lit(0.0)), 4)
+    return every.join(rows, by, "left").join(shown, by, "left").fillna(0, [*METRICS, "n_users"]).select(
+        by, *METRICS, "n_users", share.alias("coverage"))
+
+
 def _test_setup(behaviors: DataFrame, cfg: EvaluationSettings):
     cut = cut_day(behaviors, cfg.test_ratio)
     train, test = split_in_time(behaviors, cut)
     truth = ground_truth(test)
-    users = truth.select("user_id").distinct()
-    if cfg.max_users is not None:
-        users = users.orderBy("user_id").limit(cfg.max_users)
-        truth = truth.join(users, "user_id", "left_semi")
-    return cut, train, truth, users
+    return cut, train, truth, truth.select("user_id").distinct()
+
+
+def _known_orders(orders: DataFrame, cut: Column, leak_purchases: bool) -> DataFrame:
+    return orders if leak_purchases else orders.filter(F.to_date("order_time") <= cut)
 
 
 def evaluate_recommender(algorithm: str, behaviors, items, orders, order_items, cfg: EvaluationSettings,
                          settings: RecommendSettings = RecommendSettings(), leak_purchases: bool = False) -> DataFrame:
-    """Train up to the cut, compare with what follows.
+    """Train up to the cut, compare with what follows, for every user that has a ground truth.
 
     Purchases made after the cut stay candidates unless ``leak_purchases`` asks for the filter that
     knows them already.
     """
     cut, train, truth, users = _test_setup(behaviors, cfg)
-    known = orders if leak_purchases else orders.filter(F.to_date("order_time") <= cut)
+    known = _known_orders(orders, cut, leak_purchases)
     recs = RECOMMENDERS[algorithm](train, items, known, order_items, users, replace(settings, top_k=cfg.k), cut)
     return evaluate(cut_lineage(recs), truth, items, cfg.k)
 
 
-def _ranked(rows: list[DataFrame]) -> DataFrame:
-    """Rank a handful of result rows by NDCG (as many as there are variants)."""
-    from pyspark.sql import Window
+def _evaluated(variants: dict[str, tuple[str, RecommendSettings]], name: str, behaviors, items, orders, order_items,
+               cfg: EvaluationSettings, leak_purchases: bool) -> DataFrame:
+    """Lists of all variants over one split, written once and measured in one job."""
+    cut, train, truth, users = _test_setup(behaviors, cfg)
+    truth, users = cut_lineage(truth), cut_lineage(users)
+    known = _known_orders(orders, cut, leak_purchases)
+    lists = cut_lineage(reduce(DataFrame.unionByName, [
+        RECOMMENDERS[a](train, items, known, order_items, users, replace(s, top_k=cfg.k), cut)
+        .select(F.lit(v).alias(name), "user_id", "item_id", F.col("rank").cast("int").alias("rank")) for v, (a, s) in variants.items()]))
+    return evaluate_lists(lists, truth, items, cfg.k, name, tuple(variants))
+
 
-    table = reduce(DataFrame.unionByName, rows)
+def _ranked(table: DataFrame) -> DataFrame:
+    """Rank a handful of result rows by NDCG (as many as there are variants)."""
     name = table.columns[0]
     return table.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ndcg"), F.desc("recall"), name)))
 
@@ -115,12 +142,12 @@ def _ranked(rows: list[DataFrame]) -> DataFrame:
 def weight_experiment(behaviors, items, orders, order_items, cfg: EvaluationSettings = EvaluationSettings(),
                       settings: RecommendSettings = RecommendSettings(), sets: dict = WEIGHT_SETS,
                       leak_purchases: bool = False) -> DataFrame:
-    rows = []
-    for name, weights in sets.items():
-        row = evaluate_recommender("popular", behaviors, items, orders, order_items, cfg,
-                                   replace(settings, weights=weights), leak_purchases)
-        rows.append(row.select(F.lit(name).alias("experiment"), *[F.lit(w).alias(t) for t, w in weights.items()], "*"))
-    return _ranked(rows)
+    variants = {n: ("popular", replace(settings, weights=w)) for n, w in sets.items()}
+    rows = _evaluated(variants, "experiment", behaviors, items, orders, order_items, cfg, leak_purchases)
+    types = next(iter(sets.values()))
+    weights = [reduce(lambda c, n: F.when(F.col("experiment") == n, F.lit(sets[n][t])).otherwise(c), sets, F.lit(None).cast("double")).alias(t)
+               for t in types]
+    return _ranked(rows.select("experiment", *weights, *rows.columns[1:]))
 
 
 def choose_best(summary: DataFrame) -> DataFrame:
@@ -131,11 +158,8 @@ def choose_best(summary: DataFrame) -> DataFrame:
 def compare_algorithms(behaviors, items, orders, order_items, cfg: EvaluationSettings = EvaluationSettings(),
                        settings: RecommendSettings = RecommendSettings(), algorithms=tuple(RECOMMENDERS),
                        leak_purchases: bool = False) -> DataFrame:
-    rows = [
-        evaluate_recommender(a, behaviors, items, orders, order_items, cfg, settings, leak_purchases)
-        .select(F.lit(a).alias("algorithm"), "*")
-        for a in algorithms]
-    return _ranked(rows)
+    variants = {a: (a, settings) for a in algorithms}
+    return _ranked(_evaluated(variants, "algorithm", behaviors, items, orders, order_items, cfg, leak_purchases))
 
 
 def report_table(summary: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..schemas import BEHAVIOR_TYPES
 from ..settings import FeatureSettings
 from .revenue import paid_orders
 
+# The columns of the feature contract, in its order.
 USER_FEATURES = (
     "age", "gender_m", "gender_f", "register_days", "is_new_in_window", "total_behaviors",
     "n_pv", "n_click", "n_collect", "n_cart", "n_buy", "behavior_buy_ratio", "n_active_days", "active_day_ratio",
@@ -28,41 +31,56 @@ def observation_window(behaviors: DataFrame, days: int, end: str | None = None)
     return F.date_sub(last, days - 1), last
 
 
-def per_window(df: DataFrame, ends: Column, holds) -> DataFrame:
-    """Each row once per ``obs_end`` in the array ``ends`` for which ``holds(obs_end)`` is true.
+def days_array(days: list[date]) -> Column:
+    return F.array(*[F.lit(d).cast("date") for d in days]).cast("array<date>")
 
-    The array is a column of its own first, because lambdas may not hold a subquery.
-    """
-    listed = df.withColumn("_ends", ends)
-    return listed.withColumn("obs_end", F.explode(F.filter("_ends", holds))).drop("_ends")
 
+def per_window(df: DataFrame, ends: list[date], holds) -> DataFrame:
+    """Each row once per ``obs_end`` among ``ends`` for which ``holds(obs_end)`` is true."""
+    return df.withColumn("obs_end", F.explode(F.filter(days_array(ends), holds)))
 
-def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataFrame, order_items: DataFrame,
-                           items: DataFrame, ends: Column, days: int, gap_minutes: int = 30) -> DataFrame:
-    """User features for every day in the array ``ends``, all windows in one job.
 
-    Events meet the windows by an expression, not by a join.  Sessions need no window function per
-    snapshot either: an event opens a session if its global predecessor is too old or lies before the
-    window.  Orders use timestamps against midnight, so those placed later on the last day count for
-    what comes next.
+def span(ends: list[date], days: int) -> tuple[Column, Column]:
+    """First and last day of all windows together, as literals: they prune files and reach the scan."""
+    return F.lit(min(ends) - timedelta(days=days - 1)).cast("date"), F.lit(max(ends)).cast("date")
+
+
+def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataFrame, order_items: DataFrame,
+                           items: DataFrame, ends: list[date], days: int, gap_minutes: int = 30) -> DataFrame:
+    """User features for every day in ``ends``, all windows in one job.
+
+    Only the days that some window covers are read: an event whose predecessor lies before them opens a session anyway.
+    Events are reduced to cells before the windows multiply them, and cells meet the windows by an expression, not by
+    a join.  Sessions need no window function per snapshot either: an event opens one if its predecessor is too old
+    or lies before the window.  Events without a time count, but belong to no session.  Orders use timestamps against
+    midnight, so those placed later on the last day count for what comes next.
     """
     keys = ["user_id", "obs_end"]
     midnight = F.col("obs_end").cast("timestamp_ntz")
     start = F.date_sub("obs_end", days - 1)
 
     dim = items.select("item_id", "category_id").dropDuplicates(["item_id"])
-    chained = with_previous(
-        behaviors.select("user_id", "item_id", "behavior_id", "behavior_type", "event_time", "event_date",
-                         "channel", "device_type").filter(F.col("event_time").isNotNull()),
-        ["user_id"], "event_time", "behavior_id", ["event_time"])
-    prev = F.col("_prev.event_time")
-    opens = (prev.isNull() | (micros_between("event_time", prev) > gap_minutes * 60_000_000)
-             | (F.to_date(prev) < start))
     day = F.col("event_date")
-    seen = per_window(chained, ends, lambda e: (day <= e) & (day >= F.date_sub(e, days - 1)))
+    read = behaviors.filter(day.between(*span(ends, days))).select(
+        "user_id", "item_id", "behavior_id", "behavior_type", "event_time", "event_date", "channel", "device_type")
+    chained = with_previous(read.filter(F.col("event_time").isNotNull()), ["user_id"], "event_time", "behavior_id", ["event_time"])
+    prev = F.col("_prev.event_time")
+    opens = prev.isNull() | (micros_between("event_time", prev) > gap_minutes * 60_000_000)
+    # an event that goes on with a session of an earlier day opens one in the windows that begin after that day
+    timed = chained.withColumns({"opens": opens, "goes_on": F.when(~opens & (F.to_date(prev) < day), F.to_date(prev))})
+    untimed = read.filter(F.col("event_time").isNull()).withColumns(
+        {"opens": F.lit(False), "goes_on": F.lit(None).cast("date")})
+    dims = ["event_date", "item_id", "channel", "device_type"]
+    daily = timed.select("user_id", *dims, "behavior_type", "opens", "goes_on").unionByName(
+        untimed.select("user_id", *dims, "behavior_type", "opens", "goes_on")
+    ).groupBy("user_id", *dims, "goes_on").agg(
+        *type_counts("n_"), F.count(F.lit(1)).alias("total_behaviors"), F.count_if("opens").alias("n_opens"))
+    seen = per_window(daily, ends, lambda e: (day <= e) & (day >= F.date_sub(e, days - 1)))
     # One row per (user, window, day, item, channel, device): every count below is a sum over these.
-    cells = seen.groupBy(*keys, "event_date", "item_id", "channel", "device_type").agg(
-        *type_counts("n_"), F.count(F.lit(1)).alias("total_behaviors"), F.count_if(opens).alias("n_sessions"))
+    began = F.col("n_opens") + F.when(F.col("goes_on") < start, F.col("total_behaviors")).otherwise(0)
+    cells = seen.groupBy(*keys, *dims).agg(
+        *[F.sum(f"n_{t}").alias(f"n_{t}") for t in BEHAVIOR_TYPES], F.sum("total_behaviors").alias("total_behaviors"),
+        F.sum(began).alias("n_sessions"))
     cells = cells.join(dim, "item_id", "left")
     n_types = [f"n_{t}" for t in BEHAVIOR_TYPES]
     activity = cells.groupBy(*keys).agg(
@@ -76,8 +94,10 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
         n = cells.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum("total_behaviors").alias("n"))
         return n.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), column)).alias(name))
 
+    first, last = span(ends, days)
     bought = per_window(
-        paid_orders(orders).select("order_id", "user_id", "order_time", "total_amount"), ends,
+        paid_orders(orders).select("order_id", "user_id", "order_time", "total_amount")
+        .filter(F.col("order_time").between(first.cast("timestamp_ntz"), last.cast("timestamp_ntz"))), ends,
         lambda e: F.col("order_time").between(F.date_sub(e, days - 1).cast("timestamp_ntz"), e.cast("timestamp_ntz")))
     spending = (
         bought.groupBy(*keys, F.to_date("order_time").alias("day"))
@@ -92,7 +112,7 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
                             F.countDistinct("category_id").alias("purchased_categories"))
     )
 
-    out = users.select("user_id", "age", "gender", "register_time").withColumn("obs_end", F.explode(ends))
+    out = users.select("user_id", "age", "gender", "register_time").withColumn("obs_end", F.explode(days_array(ends)))
     for part in (activity, favourite("channel", "top_channel"), favourite("device_type", "top_device"),
                  spending, basket):
         out = out.join(part, keys, "left")
@@ -124,8 +144,8 @@ def windowed_user_features(users: DataFrame, behaviors: DataFrame, orders: DataF
 def user_features(users: DataFrame, behaviors: DataFrame, orders: DataFrame, order_items: DataFrame,
                   items: DataFrame, cfg: FeatureSettings = FeatureSettings()) -> DataFrame:
     """39 columns per user for one window."""
-    _, end = observation_window(behaviors, cfg.observation_days, cfg.obs_end)
-    return windowed_user_features(users, behaviors, orders, order_items, items, F.array(end),
+    end = date.fromisoformat(cfg.obs_end) if cfg.obs_end else behaviors.agg(F.max("event_date")).first()[0] or date(1970, 1, 1)
+    return windowed_user_features(users, behaviors, orders, order_items, items, [end],
                                   cfg.observation_days, cfg.session_gap_minutes).drop("obs_end")
 
 

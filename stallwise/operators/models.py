@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cents, first_rule, safe_div, scalar_row, type_counts
-from ..functions.sequence import running_total
+from ..functions.sequence import even_buckets, running_total
 from ..session import cut_lineage
 from ..settings import CLUSTER_RULES, ModelSettings
 from .features import USER_FEATURES
 from .revenue import paid_orders
 
-SCORE_BUCKETS = 4096
 CLUSTER_FEATURES = ("total_pv", "total_click", "total_buy", "total_amount", "avg_order_amount",
                     "purchase_frequency", "recency")
 
@@ -72,8 +71,8 @@ def classification_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshol
     by_score = scored.groupBy(*by, "probability").agg(
         F.count_if(real).alias("pos"), F.count_if(~real).alias("neg"),
         F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"))
-    bucket = F.floor((F.lit(1.0) - F.least(F.greatest("probability", F.lit(0.0)), F.lit(1.0))) * SCORE_BUCKETS)
-    cumulative = running_total(by_score.withColumn("bucket", bucket), "bucket", [F.desc("probability")], ["pos", "neg"], by)
+    even = even_buckets(by_score, [F.desc("probability"), *[F.col(c) for c in by]])
+    cumulative = running_total(even, "bucket", [F.desc("probability")], ["pos", "neg"], by)
     pair_area = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
     precision_area = F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     sums = cumulative.groupBy(*by).agg(

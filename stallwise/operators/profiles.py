@@ -127,5 +127,27 @@ def fact(df: DataFrame, domain: str, metric: str, label, value, best_by=None) ->
     return df.agg(F.max_by(row, best_by).alias("f")).select("f.*")
 
 
-def findings(facts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, facts)
+def findings(results: dict[str, DataFrame]) -> DataFrame:
+    """The telling rows of fourteen results, by the names ``analyses`` gives them; results that are absent or empty are left out.
+
+    ``item_ranking`` and ``top_paths`` are given cut to their first row.
+    """
+    c = F.col
+    rules = {
+        "user_scale": lambda d: fact(d, "user_scale", "pay_rate", F.lit("all"), c("pay_rate")),
+        "funnel": lambda d: fact(d.filter("step > 1"), "funnel", "step_conversion_rate", c("stage"), c("step_conversion_rate")),
+        "retention": lambda d: fact(d, "retention", "rate", c("offset"), c("rate")),
+        "cohort_aggregate": lambda d: fact(d, "cohort", "day_1", c("total_cohorts"), c("day_1")),
+        "rfm_segments": lambda d: fact(d, "rfm", "count", c("segment"), c("count")),
+        "lifecycle": lambda d: fact(d, "lifecycle", "ratio", c("stage"), c("ratio")),
+        "top_paths": lambda d: fact(d, "purchase_path", "sessions", c("path"), c("sessions")),
+        "item_ranking": lambda d: fact(d, "item_ranking", "heat_score", c("item_name"), c("heat_score")),
+        "item_stages": lambda d: fact(d, "item_lifecycle", "count", c("stage"), c("count")),
+        "price_bins": lambda d: fact(d, "price", "buy_rate", c("bin"), c("buy_rate"), F.struct("buy_rate", -c("bin"))),
+        "channels": lambda d: fact(d, "channel", "buy_rate", c("channel"), c("buy_rate"), F.struct("buy_rate", "channel")),
+        "devices": lambda d: fact(d.filter("device = 'mobile'"), "device", "behavior_ratio", c("device"), c("behavior_ratio")),
+        "item_rules": lambda d: fact(d, "association", "lift", F.concat_ws(" + ", "antecedent", "consequent"), c("lift"),
+                                     F.struct("lift", "antecedent", "consequent")),
+        "segment_names": lambda d: fact(d, "segmentation", "size", c("cluster_name"), c("size"), F.struct("size", "cluster_id")),
+    }
+    return reduce(DataFrame.unionByName, [rule(results[name]) for name, rule in rules.items() if name in results]).filter("domain is not null")

@@ -1,8 +1,9 @@
 """Top-K recommendations for all users at once: popular, item-based, user-based, content, blended.
 
-Scores live in long tables (user_id, item_id, score); nothing is a matrix on the driver and users
-are never multiplied with the whole catalogue.  Where the reference list is global, each user needs
-only its head, and how far down the head reaches follows from what that user must not see.
+Scores live in long tables (user_id, item_id, score); nothing is a matrix on the driver.  Content and neighbour
+scores grow with the item pairs that share a feature or a user, which on a dense catalogue comes near users x items.
+Where the list is global, each user needs only its head, and how far down the head reaches follows from what that
+user must not see.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pairing import both_ways, pair_sums
 from ..functions.quantiles import bin_index, quantile_edges
-from ..functions.scalar import min_max, scalar_row, time_decay, weight_of
-from ..functions.sequence import running_total
+from ..functions.scalar import by_maximum, min_max, scalar_row, time_decay, weight_of
+from ..functions.sequence import even_buckets, running_total
 from ..schemas import BEHAVIOR_TYPES
 from ..session import cut_lineage
 from ..settings import RecommendSettings
@@ -27,7 +28,6 @@ REASONS = {
     "hybrid": "blend of item, user, popularity and content scores",
 }
 EPSILON = 1e-9
-LIST_BUCKETS = 4096
 
 
 # ---- shared parts ----------------------------------------------------------------------------
@@ -65,11 +65,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def positions(scores: DataFrame) -> DataFrame:
-    """``position`` 1.. of items by score (in [0, 1]) without sorting them in one task."""
-    key = F.round("score", 6)
-    bucket = F.floor((F.lit(1.0) - F.least(F.greatest(key, F.lit(0.0)), F.lit(1.0))) * LIST_BUCKETS)
-    numbered = scores.withColumns({"bucket": bucket, "key": key, "one": F.lit(1)})
-    return running_total(numbered, "bucket", [F.desc("key"), "item_id"], ["one"]).select(
+    """``position`` 1.. of items by score without sorting them in one task; scores may cluster as they like."""
+    numbered = scores.withColumns({"key": F.round("score", 6), "one": F.lit(1)})
+    return running_total(even_buckets(numbered, [F.desc("key"), F.col("item_id")]), "bucket", [F.desc("key"), "item_id"], ["one"]).select(
         "item_id", "score", F.col("cum_one").alias("position"))
 
 
@@ -132,8 +130,7 @@ def popular_scores(behaviors: DataFrame, cfg: RecommendSettings = RecommendSetti
     seen = F.lit(False)
     for t in BEHAVIOR_TYPES:
         top = F.col(f"_top.{t}")
-        part = F.when(top > 0, F.col(t) / top).otherwise(F.lit(0.0))
-        total = total + part * F.lit(float(cfg.weights.get(t, 0.0)))
+        total = total + by_maximum(t, top) * F.lit(float(cfg.weights.get(t, 0.0)))
         seen = seen | (F.col(t) > 0)
     return scaled(topped.filter(seen).select("item_id", total.alias("score")))
 
@@ -248,13 +245,23 @@ def recommend_popular(behaviors, items, orders, order_items, users, cfg=Recommen
 
 
 def _with_fallback(scored, fallback, users, known, shelf, bought, k) -> DataFrame:
-    """Personal lists for the users in ``known``; the global list for all others."""
+    """Personal lists for the users in ``known``, the global list for all others.
+
+    A personal list that ends before ``k`` is topped up from the global list, behind the personal part, with score 0.
+    """
     known = known.select("user_id").distinct()
-    personal = top_k(candidates(scored.join(users, "user_id", "left_semi"), shelf, bought), k)
+    personal = cut_lineage(top_k(candidates(scored.join(users, "user_id", "left_semi"), shelf, bought), k))
     cold = users.join(known, "user_id", "left_anti")
-    lists = global_heads(fallback.join(shelf, "item_id", "left_semi"), cold, bought, k)
-    return personal.unionByName(lists.select(
-        "user_id", "item_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score")))
+    own = fallback.join(shelf, "item_id", "left_semi")
+    lists = global_heads(own, cold, bought, k)
+    full = personal.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    short = cut_lineage(users.join(known, "user_id", "left_semi").join(full, "user_id", "left").fillna(0, ["n"]).filter(F.col("n") < k))
+    listed = personal.select("user_id", "item_id").join(short, "user_id", "left_semi")
+    taken = listed if bought is None else listed.unionByName(bought).distinct()
+    more = global_heads(own, short.select("user_id"), taken, k).join(short, "user_id").withColumn(
+        "rank", F.col("rank") + F.col("n")).filter(F.col("rank") <= k).withColumn("score", F.lit(0.0))
+    rest = [df.select("user_id", "item_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score")) for df in (lists, more)]
+    return personal.unionByName(rest[0]).unionByName(rest[1])
 
 
 def _item_totals(weights: DataFrame) -> DataFrame:

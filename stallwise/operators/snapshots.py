@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import SnapshotSettings
-from .features import per_window, windowed_user_features
+from .features import days_array, per_window, windowed_user_features
 from .revenue import paid_orders
 
 
@@ -19,33 +21,36 @@ def snapshot_range(behaviors: DataFrame, cfg: SnapshotSettings = SnapshotSetting
                          F.date_sub(last, cfg.label_days).alias("latest"))
 
 
-def snapshot_ends(behaviors: DataFrame, cfg: SnapshotSettings = SnapshotSettings()) -> Column:
-    """The snapshot days as one scalar array: the given ones, or steps through the range."""
+def snapshot_ends(behaviors: DataFrame, cfg: SnapshotSettings = SnapshotSettings()) -> list[date]:
+    """The snapshot days: the given ones, or steps through the range.  Two dates are read to find it."""
     if cfg.ends:
-        return F.array(*[F.lit(d).cast("date") for d in sorted(cfg.ends)])
-    days = F.sequence("earliest", "latest", F.make_dt_interval(F.lit(max(cfg.step_days, 1))))
-    checked = F.when(F.col("earliest") <= F.col("latest"), days).otherwise(
-        F.raise_error(F.lit("the data are too short for the observation and label windows")).cast("array<date>"))
-    return snapshot_range(behaviors, cfg).select(checked.alias("ends")).scalar()
+        return [date.fromisoformat(d) for d in sorted(cfg.ends)]
+    reach = snapshot_range(behaviors, cfg).first()
+    if reach["earliest"] is None or reach["earliest"] > reach["latest"]:
+        raise ValueError("the data are too short for the observation and label windows")
+    step = max(cfg.step_days, 1)
+    return [reach["earliest"] + timedelta(days=n) for n in range(0, (reach["latest"] - reach["earliest"]).days + 1, step)]
 
 
 def snapshot_calendar(behaviors: DataFrame, cfg: SnapshotSettings = SnapshotSettings()) -> DataFrame:
-    return behaviors.sparkSession.range(1).select(F.explode(snapshot_ends(behaviors, cfg)).alias("obs_end"))
+    return behaviors.sparkSession.range(1).select(F.explode(days_array(snapshot_ends(behaviors, cfg))).alias("obs_end"))
 
 
-def buyers_after(orders: DataFrame, ends: Column, label_days: int) -> DataFrame:
+def buyers_after(orders: DataFrame, ends: list[date], label_days: int) -> DataFrame:
     """(user, obs_end) with a paid order after midnight of obs_end and within the label days."""
     time = F.col("order_time")
-    hits = per_window(paid_orders(orders).select("user_id", "order_time"), ends, lambda e: (
+    reach = time.between(F.lit(min(ends)).cast("timestamp_ntz"), F.lit(max(ends) + timedelta(days=label_days)).cast("timestamp_ntz"))
+    hits = per_window(paid_orders(orders).filter(reach).select("user_id", "order_time"), ends, lambda e: (
         (time > e.cast("timestamp_ntz")) & (time <= F.date_add(e, label_days).cast("timestamp_ntz"))))
     return hits.select("user_id", "obs_end").distinct()
 
 
-def active_after(behaviors: DataFrame, orders: DataFrame, ends: Column, label_days: int,
+def active_after(behaviors: DataFrame, orders: DataFrame, ends: list[date], label_days: int,
                  key_types: tuple[str, ...]) -> DataFrame:
     """(user, obs_end) that stay: a key behaviour or a paid order in the label days."""
     day = F.col("event_date")
-    keyed = behaviors.filter(F.col("behavior_type").isin(list(key_types))).select("user_id", "event_date").distinct()
+    reach = day.between(F.lit(min(ends)).cast("date"), F.lit(max(ends) + timedelta(days=label_days)).cast("date"))
+    keyed = behaviors.filter(reach & F.col("behavior_type").isin(list(key_types))).select("user_id", "event_date").distinct()
     acted = per_window(keyed, ends, lambda e: (day > e) & (day <= F.date_add(e, label_days)))
     return acted.select("user_id", "obs_end").unionByName(buyers_after(orders, ends, label_days)).distinct()
 
@@ -77,12 +82,12 @@ def churn_dataset(users: DataFrame, behaviors: DataFrame, orders: DataFrame, ord
     return _labelled(features, active_after(behaviors, orders, ends, cfg.label_days, cfg.key_types), 0)
 
 
-def time_split(dataset: DataFrame, val_ratio: float = 0.2, test_ratio: float = 0.2) -> DataFrame:
+def time_split(dataset: DataFrame, val_ratio: float = 0.2, test_ratio: float = 0.2, days: list[date] | None = None) -> DataFrame:
     """Adds ``split``: the latest snapshots are the test part, those before it validation.
 
-    The distinct snapshot days are a short list, bounded by the calendar.
+    ``days`` are the snapshot days of the panel; without them they are read from it, a short list bounded by the calendar.
     """
-    ends = dataset.agg(F.array_sort(F.collect_set("obs_end")).alias("e")).scalar()
+    ends = days_array(sorted(days)) if days else dataset.agg(F.array_sort(F.collect_set("obs_end")).alias("e")).scalar()
     n = F.size(ends)
     n_test = F.greatest(F.lit(1), F.rint(n * test_ratio).cast("int"))
     n_val = F.greatest(F.lit(0), F.rint(n * val_ratio).cast("int"))

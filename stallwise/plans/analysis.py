@@ -23,7 +23,7 @@ def analyses(tables: dict[str, DataFrame], top_n: int = 10, n_bins: int = 5) ->
     item_stages = catalogue.item_lifecycle(items, behaviors, lines, orders)
     bins = catalogue.price_bins(items, behaviors, lines, orders, n_bins)
     segments = models.assign_clusters(models.segmentation_features(behaviors, orders))
-    return {
+    out = {
         "user_scale": activity.user_scale(users, behaviors),
         "register_trend": activity.register_trend(users),
         "gender_distribution": activity.value_distribution(users, "gender"),
@@ -64,6 +64,8 @@ def analyses(tables: dict[str, DataFrame], top_n: int = 10, n_bins: int = 5) ->
         "user_profile": profiles.user_profile(users, behaviors, orders, lines, items),
         "item_profile": profiles.item_profile(items, behaviors, lines, orders),
     }
+    return {**out, "findings": profiles.findings({
+        **out, "item_ranking": revenue.item_ranking(items, behaviors, lines, orders, 1), "top_paths": paths.top_paths(behaviors, top_n=1)})}
 
 
 def run_analysis(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, top_n: int = 10) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import (clean_rows, event_time_range, examine, quality_report, quality_summary,
                                   reconcile_orders)
-from ..schemas import LOAD_ORDER, TABLES
+from ..schemas import LOAD_ORDER
+from ..session import cut_lineage
 from ..sources.tables import read_raw_csv, run_record, write_json, write_table
 
 
@@ -23,15 +24,14 @@ class Cleaned:
 
 def clean_tables(raw: dict[str, DataFrame], data_end: str | None = None,
                  row_order: list[str] | None = None) -> Cleaned:
-    """Lazy: nothing runs until a table or the report is used."""
+    """Each table is examined once and written to the scratch folder; clean rows, references and report read it there."""
     tables: dict[str, DataFrame] = {}
     examined: dict[str, DataFrame] = {}
     for name in LOAD_ORDER:
         if name not in raw:
             continue
-        spec = TABLES[name]
-        examined[name] = examine(raw[name], spec, tables, data_end, row_order)
-        tables[name] = clean_rows(examined[name], spec)
+        examined[name] = cut_lineage(examine(raw[name], name, tables, data_end, row_order))
+        tables[name] = clean_rows(examined[name], name)
     if "orders" in tables and "order_items" in tables:
         tables["orders"] = reconcile_orders(tables["orders"], tables["order_items"]).drop("corrected")
     return Cleaned(tables, examined)
@@ -43,16 +43,15 @@ def run_cleaning(spark: SparkSession, raw_dir: str, out_dir: str, data_end: str
     Each table is written before the next one reads it back as a reference, so no plan is
     computed twice and a lost executor costs one table at most.
     """
-    raw = {n: read_raw_csv(spark, f"{raw_dir}/{n}.csv", TABLES[n]) for n in LOAD_ORDER}
+    raw = {n: read_raw_csv(spark, f"{raw_dir}/{n}.csv", n) for n in LOAD_ORDER}
     written: dict[str, DataFrame] = {}
     reports = []
     for name in LOAD_ORDER:
-        spec = TABLES[name]
         staged = f"{out_dir}/_examined/{name}"
-        examine(raw[name], spec, written, data_end, ["_row"]).write.mode("overwrite").parquet(staged)
+        examine(raw[name], name, written, data_end, ["_row"]).write.mode("overwrite").parquet(staged)
         examined = spark.read.parquet(staged)
         reports.append((name, examined))
-        clean = clean_rows(examined, spec)
+        clean = clean_rows(examined, name)
         if name != "orders":
             write_table(clean, f"{out_dir}/{name}", "event_date" if name == "user_behaviors" else None)
             written[name] = spark.read.parquet(f"{out_dir}/{name}")

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.models import best_model, score_latest_per_user, score_latest_snapshot, train_and_evaluate
-from ..operators.snapshots import churn_dataset, purchase_dataset, time_split
+from ..operators.snapshots import churn_dataset, purchase_dataset, snapshot_ends, time_split
 from ..settings import ModelSettings, SnapshotSettings
 from ..sources.tables import run_record, write_json, write_table
 
@@ -25,8 +25,9 @@ def run_models(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
     """``task`` is ``purchase`` or ``churn``.  The panel is written once and everything reads that."""
     build = {"purchase": purchase_dataset, "churn": churn_dataset}[task]
     panel = panel or SnapshotSettings(label_days=7 if task == "purchase" else 30)
+    days = snapshot_ends(tables["user_behaviors"], panel)
     dataset = build(tables["users"], tables["user_behaviors"], tables["orders"], tables["order_items"], tables["items"], panel)
-    write_table(time_split(dataset, cfg.val_ratio, cfg.test_ratio), f"{out_dir}/dataset")
+    write_table(time_split(dataset, cfg.val_ratio, cfg.test_ratio, days), f"{out_dir}/dataset")
     split = spark.read.parquet(f"{out_dir}/dataset")
     models, metrics, importance = train_and_evaluate(split, cfg)
     save_models(models, f"{out_dir}/models")

@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import TableSpec, require_columns
+from ..schemas import TABLES, columns_of, require_columns
 
 
-def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """Raw rows as text, in file order (``_row``); the header must hold every column."""
+def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Raw rows as text with their place in the files (``_row``); the header must hold every column of the table."""
     header = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    require_columns(header, spec.columns, spec.name)
-    return header.select(*[F.col(c).cast("string").alias(c) for c in spec.columns],
-                         F.monotonically_increasing_id().alias("_row"))
+    require_columns(header, columns_of(table), table)
+    # a file's parts may be read in any order: path and offset say which comes first
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return header.select(*[F.col(c).cast("string").alias(c) for c in columns_of(table)], place.alias("_row"))
 
 
-def read_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [c for c in spec.columns if c not in header]
-    if missing:
-        raise ValueError(f"table {spec.name}: missing columns {missing}")
-    text = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in spec.schema.fields])
+def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Typed rows; values that do not fit their type become null."""
+    text = require_columns(spark.read.option("header", True).csv(path), columns_of(table), table)
+    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
 
 
-def read_json(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    return spark.read.schema(spec.schema).json(path)
+def read_json(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.schema(TABLES[table]).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -82,6 +80,13 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def event_record(source: str, df: DataFrame, time: str) -> DataFrame:
+    """Lineage facts of a table in one row: its name, its first and last time, its rows."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return df.agg(F.lit(source).alias("source"), stamp(F.min(time)).alias("first_time"), stamp(F.max(time)).alias("last_time"),
+                  F.count(F.lit(1)).alias("rows"))
+
+
 def run_record(spark: SparkSession, **facts) -> DataFrame:
     """One row of lineage facts about a run."""
     values = {k: None if v is None else str(v) for k, v in facts.items()}

@@ -37,9 +37,10 @@ def page_views(behaviors: DataFrame, window: str = "1 hour", lateness: str = LAT
 
 
 def active_users(behaviors: DataFrame, window: str = "1 hour", slide: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Approximate: exact distinct counts are not available on streams."""
-    return behaviors.withWatermark("event_time", lateness).groupBy(F.window("event_time", window, slide)).agg(
-        F.approx_count_distinct("user_id").alias("active_users")).select(
+    """Exact: one row per (window, user) first, then rows per window, both closed by the watermark."""
+    per_user = behaviors.withWatermark("event_time", lateness).groupBy(F.window("event_time", window, slide), "user_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    return per_user.groupBy("window").agg(F.count(F.lit(1)).alias("active_users")).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "active_users")
 
 
@@ -72,13 +73,19 @@ def run_available(stream: DataFrame, out: str | None = None, checkpoint: str | N
 
     Windows still open at the watermark stay in the state of ``checkpoint`` for the next run.
     """
+    return run_counting_late(stream, out, checkpoint)[0]
+
+
+def run_counting_late(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, int]:
+    """``run_available`` together with the number of rows that came too late for the watermark and were dropped."""
     spark = stream.sparkSession
     out = out or scratch_path(spark, "stream")
     checkpoint = checkpoint or scratch_path(spark, "state")
     query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start(out))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+    return spark.read.schema(stream.schema).parquet(out), late
 
 
 def run_top_items(heat: DataFrame, k: int = 10, out: str | None = None, checkpoint: str | None = None) -> DataFrame:

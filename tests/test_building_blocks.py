@@ -11,7 +11,7 @@ from stallwise.functions.scalar import safe_div
 from stallwise.functions.sequence import running_total, sessions
 from stallwise.operators.models import classification_metrics
 from stallwise.operators.recommend import global_heads
-from stallwise.settings import parse_weights
+from stallwise.settings import BEHAVIOR_WEIGHTS, parse_weights
 
 
 def test_safe_div(spark):
@@ -22,7 +22,10 @@ def test_safe_div(spark):
 def test_parse_weights():
     assert parse_weights("pv:1,click:2.5") == {"pv": 1.0, "click": 2.5}
     assert parse_weights('{"buy": 9}') == {"buy": 9.0}
-    assert parse_weights({"pv": 1, "other": 2}, known=("pv",)) == {"pv": 1.0}
+    assert parse_weights({"pv": 1, "other": 2}) == {"pv": 1.0, "other": 2.0}
+    assert parse_weights("") == parse_weights({}) == parse_weights(None) == parse_weights("nonsense") == BEHAVIOR_WEIGHTS
+    with pytest.raises(ValueError):
+        parse_weights("pv:1,buy:much")
 
 
 @pytest.mark.parametrize("block_rows", [3, 1000])

@@ -5,19 +5,18 @@ import pytest
 from conftest import by
 from stallwise.operators.cleaning import clean_rows, examine, quality_row, reconcile_orders
 from stallwise.plans.cleaning import clean_tables, run_cleaning
-from stallwise.schemas import TABLES, require_columns
+from stallwise.schemas import columns_of, require_columns
 from stallwise.sources.tables import append_rows, read_raw_csv, update_by_key
 
 
 def _raw(spark, name, rows):
-    cols = TABLES[name].columns
+    cols = columns_of(name)
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ", ".join(f"{c} string" for c in cols) + ", _row int")
 
 
 def _run(spark, name, rows, known=None, **kw):
-    spec = TABLES[name]
-    examined = examine(_raw(spark, name, rows), spec, known or {}, row_order=["_row"], **kw)
-    return clean_rows(examined, spec), quality_row(examined, spec).first()
+    examined = examine(_raw(spark, name, rows), name, known or {}, row_order=["_row"], **kw)
+    return clean_rows(examined, name), quality_row(examined, name).first()
 
 
 def test_users(spark):
@@ -110,5 +109,5 @@ def test_run_from_csv(spark, tmp_path):
     assert spark.read.parquet(f"{out}/orders").first()["total_amount"] == 5.0
     report = by(spark.read.json(f"{out}/quality_report"), "table_name")
     assert (report["user_behaviors"]["duplicates"], report["user_behaviors"]["illegal"], report["user_behaviors"]["fk"]) == (1, 1, 1)
-    lazy = clean_tables({n: read_raw_csv(spark, f"{raw}/{n}.csv", TABLES[n]) for n in files}, "2026-08-31", ["_row"])
+    lazy = clean_tables({n: read_raw_csv(spark, f"{raw}/{n}.csv", n) for n in files}, "2026-08-31", ["_row"])
     assert {n: df.count() for n, df in lazy.tables.items()} == counts

@@ -1,5 +1,7 @@
 """Feature windows, labels and leakage guards."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,19 +59,37 @@ def test_order_on_the_last_day_belongs_to_the_label(make, shop):
     orders = make.orders([("O1", "U1", "2026-08-31T00:00:00", 10, "paid"), ("O2", "U2", "2026-08-31T09:00:00", 20, "paid")])
     rows = by(user_features(users, behaviors, orders, lines, items, CFG), "user_id")
     assert rows["U1"]["paid_order_count"] == 1 and rows["U2"]["paid_order_count"] == 0
-    ends = F.array(F.lit("2026-08-31").cast("date"))
+    ends = [date(2026, 8, 31)]
     assert {r["user_id"] for r in buyers_after(orders, ends, 7).collect()} == {"U2"}
 
 
 def test_session_cut_by_the_window_start_counts(make, shop):
     users, _, orders, lines, items = shop
     b = make.behaviors([("B1", "U1", "I1", "pv", "2026-08-01T23:50:00"), ("B2", "U1", "I1", "pv", "2026-08-02T00:05:00")])
-    ends = F.array(F.lit("2026-08-31").cast("date"), F.lit("2026-08-30").cast("date"))
+    ends = [date(2026, 8, 31), date(2026, 8, 30)]
     rows = by(windowed_user_features(users, b, orders, lines, items, ends, 30), "user_id", "obs_end")
     got = {str(k[1]): (r["total_behaviors"], r["n_sessions"]) for k, r in rows.items() if k[0] == "U1"}
     assert got == {"2026-08-31": (1, 1), "2026-08-30": (2, 1)}
 
 
+def test_events_without_a_time_count_but_open_no_session(make, shop):
+    users, _, orders, lines, items = shop
+    b = make.behaviors([("B1", "U1", "I1", "pv", "2026-08-20T10:00:00"), ("B2", "U1", "I1", "buy", "2026-08-21T10:00:00")])
+    b = b.withColumn("event_time", F.when(F.col("behavior_id") == "B1", F.col("event_time")))
+    row = by(windowed_user_features(users, b, orders, lines, items, [date(2026, 8, 31)], 30), "user_id")["U1"]
+    assert (row["total_behaviors"], row["n_buy"], row["n_active_days"], row["n_sessions"]) == (2, 1, 2, 1)
+
+
+def test_windows_read_only_their_days(spark, make, shop, tmp_path):
+    users, _, orders, lines, items = shop
+    b = make.behaviors([("B1", "U1", "I1", "pv", "2026-01-20T10:00:00"), ("B2", "U1", "I1", "buy", "2026-08-21T10:00:00")])
+    b.write.partitionBy("event_date").parquet(str(tmp_path / "b"))
+    table = windowed_user_features(users, spark.read.parquet(str(tmp_path / "b")), orders, lines, items, [date(2026, 8, 31)], 30)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "2026-08-02" in plan
+    assert by(table, "user_id")["U1"]["total_behaviors"] == 1
+
+
 def test_dictionary_covers_every_column(shop):
     table = user_features(*shop, CFG)
     fields = [r["field"] for r in feature_dictionary({"user_features": table}).collect()]

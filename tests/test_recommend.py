@@ -101,7 +101,7 @@ def test_later_purchases_stay_candidates_by_default(make):
     b = make.behaviors([("B1", "U1", "I1", "buy", "2026-08-01T10:00:00"), ("B2", "U2", "I2", "pv", "2026-08-02T10:00:00"),
                         ("B3", "U1", "I2", "buy", "2026-08-09T10:00:00")])
     orders, lines = make.orders([("O1", "U1", "2026-08-09T10:00:00", 1, "paid")]), make.lines([("O1", "I2", 1, 1)])
-    cfg = EvaluationSettings(k=2, max_users=None)
+    cfg = EvaluationSettings(k=2)
     fair = I.evaluate_recommender("popular", b, items, orders, lines, cfg).first()
     leaky = I.evaluate_recommender("popular", b, items, orders, lines, cfg, leak_purchases=True).first()
     assert fair["hit_rate"] == 1.0 and leaky["hit_rate"] == 0.0
