@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, cut_lineage
 from .quality_model import HELD_OUT, training_rows
 
 GRADES = 4  # 0 none, 1 mild, 2 strong, 3 severe
 # Grade of a toxic document by the marked words it holds: up to 1 is mild, up to 3 strong, more is severe.
 GRADE_STEPS = (1, 3)
-FLAG = 0.5
+FLAG = 0.4  # probability of any grade above 0 from which a text counts as toxic
 
 
 @dataclass(frozen=True)
@@ -23,9 +23,9 @@ class ToxicSettings:
 
     sample_rows: int = 12000
     least_documents: int = 3
-    features: int = 4096
+    features: int = 1024
     marked_odds: float = 8.0
-    ridge: float = 0.02
+    ridge: float = 0.0005
     rounds: int = 300
 
 
@@ -130,54 +130,81 @@ def ordinal_fit(rows, columns, values, grades, width: int, ridge: float, rounds:
     return params[:width], np.concatenate([[params[width]], params[width] + np.cumsum(gaps)])
 
 
+def telling_features(sample: DataFrame, settings: ToxicSettings) -> tuple:
+    """(sorted features, whether each marks an insult): those that speak for toxic rows most, and often.
+
+    Rows per feature and label are counted in Spark; only the chosen features reach the driver.
+    """
+    import numpy as np
+
+    def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        cache: dict = {}
+        for batch in batches:
+            found = [np.append(counts(t.as_py(), cache)[0], np.uint64(0)).view(np.int64) for t in batch.column(2)]  # 0: every row
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))],
+                                             names=["label", "f"])
+
+    seen = sample.mapInArrow(mapped, "label int, f array<long>").select("label", F.explode("f").alias("f"))
+    stats = cut_lineage(seen.groupBy("f").agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") >= settings.least_documents))
+    total = stats.where("f = 0").first()
+    if total is None or not 0 < total["toxic"] < total["n"]:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    share = (F.col("toxic") + 0.5) / F.lit(total["toxic"] + 1.0)
+    clean = (F.col("n") - F.col("toxic") + 0.5) / F.lit(total["n"] - total["toxic"] + 1.0)
+    best = stats.where("f <> 0").withColumn("ratio", F.log(share / clean)).where("ratio > 0").orderBy(
+        F.desc(F.col("ratio") * F.sqrt("toxic")), "f").limit(settings.features).toPandas()
+    keys = best["f"].to_numpy(np.int64).view(np.uint64)
+    marks = (best["ratio"] >= np.log(settings.marked_odds)).to_numpy() & (best["toxic"] >= settings.least_documents).to_numpy() & (
+        keys % np.uint64(2) == 1)
+    order = np.argsort(keys)
+    return keys[order], marks[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings(), key: str = "doc_id", text: str = "text") -> Model:
     """The model, learned from a bounded sample of labelled rows outside the held-out quarter.
 
     Labels say toxic or not.  The grade of a toxic row comes from its marked words: those whose first four letters have
-    odds of standing in a toxic row that are ``marked_odds`` times those of a clean one.  Without labels of both kinds nothing is toxic.
+    odds of standing in a toxic row that are ``marked_odds`` times those of a clean one.  Without labels of both kinds, or
+    without a telling feature, nothing is toxic.
     """
     import numpy as np
 
     arrow_rows(docs.sparkSession, 256)
+    sample = training_rows(docs, labels, "toxic", settings.sample_rows, key, text)
+    keys, marks = telling_features(sample, settings)
+    if not len(keys):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
 
     def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         cache: dict = {}
         for batch in batches:
-            found = [counts(t.as_py(), cache) for t in batch.column(2)]
+            found = []
+            for t in batch.column(2):
+                h, c = counts(t.as_py(), cache)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                same = keys[at] == h
+                found.append((at[same].astype(np.int32), c[same].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([f[0].tobytes() for f in found], pa.binary()),
-                pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary())], names=["doc_id", "label", "f", "c"])
+                pa.array([f[1].tobytes() for f in found], pa.binary())], names=["doc_id", "label", "f", "c"])
 
-    got = training_rows(docs, labels, "toxic", settings.sample_rows, key, text).mapInArrow(
-        mapped, "doc_id long, label int, f binary, c binary").toPandas().sort_values(["doc_id", "f"], kind="stable")
+    got = sample.mapInArrow(mapped, "doc_id long, label int, f binary, c binary").toPandas().sort_values(["doc_id", "f"], kind="stable")
     y = (got["label"].to_numpy() > 0).astype(int)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
-    if len(set(y)) < 2:
-        return nothing
-    hashes = [np.frombuffer(b, np.uint64) for b in got["f"]]
-    number = [np.frombuffer(b, np.int32) for b in got["c"]]
-    rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    flat, times = np.concatenate(hashes), np.concatenate(number)
-    keys, columns = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(columns, y[rows], minlength=len(keys))
-    clean = np.bincount(columns, 1 - y[rows], minlength=len(keys))
-    ratio = np.log(((toxic + 0.5) / (y.sum() + 1)) / ((clean + 0.5) / ((1 - y).sum() + 1)))
-    gain = np.abs(ratio) * (toxic + clean) ** 0.5 * (toxic + clean >= settings.least_documents)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:settings.features])
-    chosen = chosen[gain[chosen] > 0]
-    if not len(chosen):
-        return nothing
-    marked = (ratio >= np.log(settings.marked_odds)) & (toxic >= settings.least_documents) & (keys % np.uint64(2) == 1)
-    hits = np.bincount(rows, times * marked[columns], minlength=len(hashes))
+    columns = [np.frombuffer(b, np.int32) for b in got["f"]]
+    rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    columns, times = np.concatenate(columns), np.concatenate([np.frombuffer(b, np.int32) for b in got["c"]])
+    hits = np.bincount(rows, times * marks[columns], minlength=len(y))
     grades = np.where(y == 0, 0, 1 + sum((hits > s).astype(int) for s in GRADE_STEPS))
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[columns] >= 0
-    weights, cuts = ordinal_fit(rows[used], place[columns[used]], np.log2(1.0 + times[used]), grades, len(chosen),
-                                settings.ridge * len(grades), settings.rounds)
-    return Model(keys[chosen], weights, cuts)
+    weights, cuts = ordinal_fit(rows, columns, np.log2(1.0 + times), grades, len(keys), settings.ridge * len(grades), settings.rounds)
+    return Model(keys, weights, cuts)
 
 
 def graded(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings(), key: str = "doc_id",
@@ -185,7 +212,7 @@ def graded(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSe
     """(key, held_out, p_toxic, expected_severity, grade, toxic), one row per row of ``docs``.
 
     ``p_toxic`` is the probability of any grade above 0, ``expected_severity`` the mean grade (0 to 3), ``grade`` the
-    likeliest one, ``toxic`` whether ``p_toxic`` is at least one half.  Null and blank texts are graded without features.
+    likeliest one, ``toxic`` whether ``p_toxic`` reaches ``FLAG``.  Null and blank texts are graded without features.
     Repeated rows are graded alike; an empty table gives no rows; extra columns are ignored.
     """
     model = fit(docs, labels, settings, key, text)
