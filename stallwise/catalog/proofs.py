@@ -43,7 +43,7 @@ SELECT (SELECT count(*) FROM w_users) * (SELECT count(*) FROM train) AS rows, 0.
 def _importances(w):
     model, train = _fitted(w, "random_forest")
     table = M.feature_importance({"random_forest": model}, train.sparkSession, top_n=1000)
-    return table.agg(F.count(F.lit(1)).alias("features"), F.count_if("value >= 0").alias("not_negative"),
+    return table.agg(F.count(F.lit(1)).alias("features"), F.count_if(F.col("value") >= 0).alias("not_negative"),
                      F.round(F.sum("value"), 2).alias("total"))
 
 
