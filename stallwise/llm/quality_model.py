@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ ACCEPT = 0.7
 class QualitySettings:
     """``sample_rows`` bounds the labelled rows that are learned from (the first by a hash of their id)."""
 
-    sample_rows: int = 8000
+    sample_rows: int = 5000
     least_documents: int = 4
     smoothing: float = 1.0
     penalty: float = 0.05
@@ -40,7 +39,6 @@ class Model:
     shift: float
 
 
-_KINDS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 _CACHE_WORDS = 400_000
 
 
