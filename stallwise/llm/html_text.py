@@ -30,6 +30,7 @@ FURNITURE_NAMES = re.compile(
     r"recommended|share|sharing|social|comments?|commentlist|disqus|discussion|replies|respond|footer|masthead|pagination|pager|"
     r"toolbar|site-header|page-header|skip)(?:$|[-_\s\d])", re.I)
 CONTENT_TAGS = frozenset("article main".split())
+SIDE_ARTICLES = re.compile(r"(?:^|[-_\s])(comments?|reply|replies|responses?|ads?|sponsored|promo|related|recommended)(?:$|[-_\s\d])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -136,7 +137,10 @@ def blocks_of(page: str) -> list[Block]:
                 else:
                     names += " " + value
         inside = f"/{parent.path}/"
-        furniture = (tag in FURNITURE or role in FURNITURE_ROLES or (bool(names) and FURNITURE_NAMES.search(names) is not None and tag not in ("html", "body"))
+        # an article is what the page is for, whatever its class says of its surroundings, unless it is a remark or an advert
+        telling = SIDE_ARTICLES if tag in CONTENT_TAGS else FURNITURE_NAMES
+        named = bool(names) and tag not in ("html", "body") and telling.search(names) is not None
+        furniture = (tag in FURNITURE or role in FURNITURE_ROLES or named
                      or tag == "header" and not any(f"/{c}/" in inside for c in CONTENT_TAGS))
         label = tag if tag in INLINE or not names else tag + "." + ".".join(names.split())
         open_nodes.append(Node(tag, f"{parent.path}/{label}" if parent.path else label, parent.dropped or furniture, parent))

@@ -33,6 +33,12 @@ def test_main_text_without_marked_elements():
     assert html_text.main_text(page).split("\n") == [f"Sentence number {i}, with some commas, and an end." for i in range(5)] + ["Fin."]
 
 
+def test_classes_of_articles():
+    text = "Long story, told well, and to the end. " * 3
+    page = f'<main class="with-sidebar"><article class="post share-buttons-on"><p>{text}</p></article><article class="comment"><p>I agree, fully.</p></article></main>'
+    assert html_text.main_text(page) == text.strip()
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p", "<p class='x", "</p></p>", "<!--", "<script>x", "<nav>a, b.</nav>", "<![CDATA[x"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) == ""
