@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucketed_sums, cut_lineage
+from .common import WORD, bucketed_sums, cut_lineage, fresh
 
 # Weights of the sources in code-point order, repeating; the most passes over a source.
 WEIGHTS = (5, 2, 1)
@@ -147,8 +147,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Whole documents are given out, not their cut parts: a document is repeated as often as a pass over its source
     took it up to its last word, and once more where the last pass took at least half of it.
     """
+    same, times, copy = fresh(docs, "same"), fresh(docs, "times"), fresh(docs, "copy")
     got = cut_lineage(taken_words(docs, key, text, source).select(
-        F.col(key).alias("_k"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_times"))
-        .groupBy("_k").agg(F.max("_times").alias("_times")))
-    return docs.join(got, docs[key].eqNullSafe(got["_k"])).where("_times > 0").select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*[docs[c] for c in docs.columns])
+        F.col(key).alias(same), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias(times))
+        .groupBy(same).agg(F.max(times).alias(times)))
+    return docs.join(got, docs[key].eqNullSafe(got[same])).where(F.col(times) > 0).select(
+        "*", F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).select(*docs.columns)

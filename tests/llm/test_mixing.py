@@ -77,7 +77,7 @@ def test_nothing_to_mix(spark):
 
 def test_mixture_as_documents(spark):
     rows = [(i, " ".join(["w"] * 50), "abc"[i % 3]) for i in range(90)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _times", "2 as _same", "3 as size")
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
