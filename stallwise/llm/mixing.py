@@ -16,7 +16,7 @@ STEPS = 1 << 31  # points of the unit interval the schedule distinguishes
 GOLDEN = 1327217885  # STEPS / golden ratio, odd: multiples of it run through all points
 CELLS = 1024  # cells of the unit interval by which a point finds its source
 CHUNK = 4096  # consecutive slots that are ranked together
-SPREAD = 4096  # hash buckets a source's shuffled documents are summed in
+DIGITS = 3  # hex digits of the hash that deal a source's shuffled documents to 4096 buckets, summed one by one
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     goals = cut_lineage(targets(sized, weights, passes))
     named = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).select(
         "row", "doc_id", sized["source"], "size", "source_size", "target", "rank", "place")
-    real = named.where("size > 0").withColumn("bucket", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
+    real = named.where("size > 0").withColumn("bucket", F.conv(F.substring("place", 1, DIGITS), 16, 10).cast("int"))
     laid = cut_lineage(bucketed_sums(
         real.select("rank", "bucket", "place", "doc_id", "size", "row", "source_size", "target"),
         ["rank"], "bucket", ["place", "doc_id", "size", "row"], "size", "start"))
