@@ -286,12 +286,11 @@ class Sampler:
         ends = np.concatenate([[0], np.cumsum(number)])
         cut = ends[np.concatenate([begin, [len(start)]])] if len(rows) else ends
         paths = [edges[cut[i]:cut[i + 1]] for i in range(len(rows))]
-        unit_of = np.repeat(_runs(size), number)
-        owners = [unit_of[cut[i]:cut[i + 1]] for i in range(len(rows))]
+        tokens = [number[b:b + n] for b, n in zip(begin, size)]  # pieces of each unit
         fixed = [0] * len(rows)
         bounds, turn = list(top), list(range(len(rows)))
         for nth in range(1, self.samples + 1):
-            for i, path, owner, bound, frozen in zip(turn, paths, owners, bounds, fixed):
+            for i, path, held, bound, frozen in zip(turn, paths, tokens, bounds, fixed):
                 step_log = lat.log[path]
                 before = np.cumsum(step_log) - step_log
                 total = float(before[-1] + step_log[-1]) if len(path) else 0.0
@@ -306,7 +305,7 @@ class Sampler:
                     for j in best:
                         if reach[j] > -np.inf:
                             serial += 1
-                            heapq.heappush(heaps[i], (-float(reach[j]), serial, path, owner, frozen + int(j), (int(path[frozen + j]),),
+                            heapq.heappush(heaps[i], (-float(reach[j]), serial, path, held, frozen + int(j), (int(path[frozen + j]),),
                                                       float(before[frozen + j])))
             if nth == self.samples:
                 break
@@ -314,8 +313,11 @@ class Sampler:
             for i, heap in enumerate(heaps):
                 if not heap:
                     continue
-                reach, _, path, owner, at, barred, before = heapq.heappop(heap)
-                node = self._source(path, owner, at, start, begin[i])
+                reach, _, path, held, at, barred, before = heapq.heappop(heap)
+                upto = np.cumsum(held)
+                u_at = int(np.searchsorted(upto, at, "right"))
+                opening = int(upto[u_at - 1]) if u_at else 0  # where that unit's pieces begin
+                node = int(lat.to[path[at - 1]]) if at > opening else int(start[begin[i] + u_at])
                 choice = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in barred]
                 chance = np.exp(lat.log[choice])
                 u = float(uniforms(seeds[i:i + 1], 200 + nth, np.array([at]), 0)[0]) * chance.sum()
@@ -325,11 +327,10 @@ class Sampler:
                     serial += 1
                     noise = float(uniforms(seeds[i:i + 1], 300 + nth, np.array([at]), 0)[0])
                     again = -math.log(math.exp(reach) - math.log(noise) / math.exp(max(before + math.log(others), -700.0)))
-                    heapq.heappush(heap, (-again, serial, path, owner, at, (*barred, choice[pick]), before))
-                u_at = int(owner[at])
+                    heapq.heappush(heap, (-again, serial, path, held, at, (*barred, choice[pick]), before))
                 turn.append(i)
                 bounds.append(-reach)
-                heads.append((np.append(path[:at], choice[pick]), owner[:at + 1]))
+                heads.append((np.append(path[:at], choice[pick]), held[:u_at], at - opening + 1))
                 nodes.append(np.concatenate([[lat.to[choice[pick]]], start[begin[i] + u_at + 1:begin[i] + size[i]]]))
                 places.append(np.arange(u_at, size[i]))
                 keys_of.append(np.full(size[i] - u_at, seeds[i]))
@@ -338,10 +339,11 @@ class Sampler:
                 break
             edges, number = lat.walk(np.concatenate(nodes), np.concatenate(keys_of), np.concatenate(places), 2 + nth)
             ends = np.concatenate([[0], np.cumsum(number)])
-            cut = ends[np.concatenate([[0], np.cumsum(counts)])]
-            unit_of = np.repeat(np.concatenate(places), number)
+            own = np.concatenate([[0], np.cumsum(counts)])
+            cut = ends[own]
+            number[own[:-1]] += [h[2] for h in heads]
             paths = [np.concatenate([h[0], edges[cut[j]:cut[j + 1]]]) for j, h in enumerate(heads)]
-            owners = [np.concatenate([h[1], unit_of[cut[j]:cut[j + 1]]]) for j, h in enumerate(heads)]
+            tokens = [np.concatenate([h[1], number[own[j]:own[j + 1]]]) for j, h in enumerate(heads)]
             fixed = [len(h[0]) for h in heads]
         done = []
         for i, found in enumerate(out):
@@ -350,12 +352,6 @@ class Sampler:
                          for p, lp, g in found])
         return done
 
-    def _source(self, path, owner, at: int, start, begin: int) -> int:
-        """The node that edge ``at`` of a path leaves."""
-        if at and owner[at - 1] == owner[at]:
-            return int(self.lattices.to[path[at - 1]])
-        return int(start[begin + owner[at]])
-
     def ids(self, path):
         """Piece ids of a path of edges."""
         return self.ids_of([path])[0]
