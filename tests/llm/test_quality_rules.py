@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from stallwise.llm import quality_rules
 from stallwise.llm.quality_rules import RuleSettings
 
@@ -60,6 +62,18 @@ def test_common_lines_deplete_documents_but_copies_do_not(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+@pytest.mark.parametrize("own", [3, 5, 15])
+def test_pages_of_one_template_are_documents_of_their_own(spark, own):
+    template = "\n".join(" ".join(f"template{_word(i, j, 0)}" for j in range(10)) for i in range(6))
+    rows = [(i, template + "\n" + " ".join(f"particular{_word(i % 26, i // 26, j)}" for j in range(own)), "en", "a.example", 0)
+            for i in range(100)]
+    rows += [(100 + i, "\n".join(" ".join(f"another{_word(i, j, k)}" for k in range(12)) for j in range(6)), "en", "a.example", 0)
+             for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].removed_words == 60 and not got[i].kept for i in range(100))
+    assert all(got[i].removed_words == 0 and got[i].kept for i in range(100, 120))
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality_rules.judged(none).count() == 0 and quality_rules.keep_good(none).count() == 0
