@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, quality_model, quality_rules, segmentations, simhash, token_counts, topk, toxicity, warc
+from . import (html_text, mixing, phrases, quality_model, quality_rules, segmentations, simhash, token_counts, topk, toxicity, trie,
+               vector_copies, warc)
 from .common import read
 
 
@@ -54,6 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.graded(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_copies.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.sequences(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_segmentations": op2_segmentations,
@@ -65,4 +78,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_copies": op11_vector_copies,
+    "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }

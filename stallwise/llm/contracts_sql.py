@@ -64,4 +64,55 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+
+    "op11_vector_copies": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e,
+  coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable FROM embeddings),
+u AS (SELECT * FROM v WHERE usable),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.vec_id FROM u a JOIN u b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, reached) AS (SELECT id, id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT r.id, min(v.vec_id) AS component_id FROM r JOIN v ON r.reached = v.id GROUP BY r.id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (id) LEFT JOIN n ON n.a = v.id""",
+
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 5) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS times FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (SELECT f.lang, f.phrase, f.times AS a, c, x.times AS l, y.times AS r, (2000000 * f.times) // (x.times + y.times) AS score FROM f, range(1, 4) t(c)
+  JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(string_split(f.phrase, ' ')[1:c], ' ')
+  JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(string_split(f.phrase, ' ')[c + 1:], ' ') WHERE f.k > c),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT f.lang, array_to_string(string_split(phrase, ' ')[s:s + m - 1], ' ') AS phrase, max(times) AS longer
+  FROM f, range(2, 4) t(m), range(1, 4) q(s) WHERE m < f.k AND s + m - 1 <= f.k GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, md5(length(role) || ':' || role || ':' || text) AS key, strlen(text) AS size FROM t),
+s AS (SELECT conv_id, list({'key': key, 'size': size} ORDER BY turn NULLS FIRST, key) AS turns FROM k GROUP BY conv_id),
+h AS (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(c, x)), 4294967295::BIGINT)) % 9 AS h FROM s),
+m AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d AS depth, len(turns) AS n, array_to_string(list_transform(turns[1:d], lambda x: x.key), '') AS path,
+  CASE WHEN d = 0 THEN 0 ELSE turns[d].size END AS size FROM m, unnest(range(0, len(turns) + 1)) r(d)),
+x AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+c AS (SELECT left(path, 32 * (depth - 1)::INT) AS path, count(*) AS n_children FROM x WHERE depth > 0 GROUP BY 1),
+a AS (SELECT left(x.path, 32 * d::INT) AS path, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+  sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM x LEFT JOIN c ON c.path = x.path, unnest(range(0, x.depth + 1)) r(d) GROUP BY 1)
+SELECT x.conv_id, x.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN a ON a.path = x.path LEFT JOIN c ON c.path = x.path
+LEFT JOIN x o ON x.depth > 0 AND o.depth = x.depth - 1 AND o.path = left(x.path, 32 * (x.depth - 1)::INT)""",
 }
