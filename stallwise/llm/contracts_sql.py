@@ -83,11 +83,12 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(trans
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
   FROM w, range(1, 5) t(k) WHERE len(w) >= k),
-f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS times FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS times FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-cuts AS (SELECT f.lang, f.phrase, f.times AS a, c, x.times AS l, y.times AS r, (2000000 * f.times) // (x.times + y.times) AS score FROM f, range(1, 4) t(c)
-  JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(string_split(f.phrase, ' ')[1:c], ' ')
-  JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(string_split(f.phrase, ' ')[c + 1:], ' ') WHERE f.k > c),
+parts AS MATERIALIZED (SELECT lang, phrase, times, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+  array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail FROM f, range(1, 4) t(c) WHERE k > c),
+cuts AS (SELECT parts.lang, parts.phrase, parts.times AS a, c, x.times AS l, y.times AS r, (2000000 * parts.times) // (x.times + y.times) AS score
+  FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = head JOIN f y ON y.lang = parts.lang AND y.phrase = tail),
 low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
 inside AS (SELECT f.lang, array_to_string(string_split(phrase, ' ')[s:s + m - 1], ' ') AS phrase, max(times) AS longer
   FROM f, range(2, 4) t(m), range(1, 4) q(s) WHERE m < f.k AND s + m - 1 <= f.k GROUP BY ALL),
