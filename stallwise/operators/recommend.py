@@ -1,7 +1,7 @@
 """Top-K recommendations for all users at once: popular, item-based, user-based, content, blended.
 
-Scores live in long tables (user_id, item_id, score); nothing is a matrix on the driver.  Content and neighbour
-scores grow with the item pairs that share a feature or a user, which on a dense catalogue comes near users x items.
+Scores live in long tables (user_id, item_id, score); nothing is a matrix on the driver.  Neighbour scores are products of sparse
+blocks, content lists come from an inverted index with bounds; the whole tables of scores exist only for who asks for them.
 Where the list is global, each user needs only its head, and how far down the head reaches follows from what that
 user must not see.
 """
@@ -13,13 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairing import both_ways, pair_sums
+from ..functions import products
 from ..functions.quantiles import bin_index, quantile_edges
 from ..functions.scalar import by_maximum, min_max, scalar_row, time_decay, weight_of
 from ..functions.sequence import even_buckets, running_total
 from ..schemas import BEHAVIOR_TYPES
 from ..session import cut_lineage
 from ..settings import RecommendSettings
+from .postings import best_scores
 from .revenue import paid_lines
 
 REASONS = {
@@ -146,36 +147,80 @@ def decayed_user_items(behaviors: DataFrame, cfg: RecommendSettings, ref: Column
     return behaviors.groupBy("user_id", "item_id").agg(F.sum(value).alias("w")).filter(F.col("w") > 0)
 
 
-def item_similarity(weights: DataFrame) -> DataFrame:
-    """Directed cosine (a, b, sim), each item with itself included."""
+def _item_products(weights: DataFrame) -> tuple[products.Axis, products.Axis, DataFrame, DataFrame]:
+    """User and item axes, the weights in blocks, and all directed item cosines (seed, candidate) in blocks.
+
+    The seed's norm is the plain one, the candidate's has the small addition.
+    """
     norms = weights.groupBy("item_id").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-    pairs = both_ways(pair_sums(weights, "user_id", "item_id", "w").select("a", "b", "dot")).unionByName(
-        norms.select(F.col("item_id").alias("a"), F.col("item_id").alias("b"), F.col("sq").alias("dot")))
-    na = norms.select(F.col("item_id").alias("a"), F.col("sq").alias("sa"))
-    nb = norms.select(F.col("item_id").alias("b"), F.col("sq").alias("sb"))
-    return pairs.join(na, "a").join(nb, "b").select(
-        "a", "b", (F.col("dot") / (F.sqrt("sa") * F.sqrt(F.col("sb") + EPSILON))).alias("sim"))
+    users = products.axis(weights.select("user_id").distinct(), "user_id")
+    items = products.axis(norms, "item_id")
+    parts = weights.join(norms, "item_id").select(
+        "user_id", "item_id", "w", (F.col("w") / F.sqrt("sq")).alias("seed"), (F.col("w") / F.sqrt(F.col("sq") + EPSILON)).alias("partner"))
+    own, seed, partner = (cut_lineage(products.packed(parts, users, items, c)) for c in ("w", "seed", "partner"))
+    return users, items, own, products.multiply(products.turned(seed), partner)
+
+
+def item_similarity(weights: DataFrame) -> DataFrame:
+    """Directed cosine (a, b, sim), each item with itself included: item blocks times user blocks, summed per pair of item blocks."""
+    _, items, _, sims = _item_products(weights)
+    return products.unpacked(sims, items, items, "a", "b", "sim")
 
 
 def itemcf_scores(weights: DataFrame, shelf: DataFrame | None = None) -> DataFrame:
-    sims = item_similarity(weights)
-    if shelf is not None:
-        sims = sims.join(shelf.withColumnRenamed("item_id", "b"), "b", "left_semi")
-    return weights.withColumnRenamed("item_id", "a").join(sims, "a").groupBy(
-        "user_id", F.col("b").alias("item_id")).agg(F.sum(F.col("w") * F.col("sim")).alias("score"))
+    """Score of every item that shares a user with one of the user's own: user blocks times the cosine blocks."""
+    users, items, own, sims = _item_products(weights)
+    scores = products.unpacked(products.multiply(own, sims), users, items, "user_id", "item_id", "score")
+    return scores if shelf is None else scores.join(shelf, "item_id", "left_semi")
+
+
+def itemcf_heads(weights: DataFrame, shelf: DataFrame, bought: DataFrame | None, k: int) -> DataFrame:
+    """The part of ``itemcf_scores`` that can reach a list: the best ``k`` allowed items of a user in every item block.
+
+    Items off the shelf leave the right-hand side, purchases are hidden in the summed blocks, and only the best of each row
+    leave a task, so there is no table of users x items.
+    """
+    users, items, own, sims = _item_products(weights)
+    off = cut_lineage(items.place(items.table.select("item_id").join(shelf, "item_id", "left_anti"), "k", "_c").groupBy("k").agg(
+        F.collect_set("_c").alias("off")))
+    sims = sims.join(off, "k", "left").select("i", "k", F.expr(
+        f"filter(arrays_zip(at, v), e -> not array_contains(coalesce(off, cast(array() as array<int>)), e.at % {products.BLOCK}))").alias("e")).select(
+        "i", "k", F.col("e.at").alias("at"), F.col("e.v").alias("v"))
+    hidden = None if bought is None else cut_lineage(products.packed(bought.withColumn("one", F.lit(1.0)), users, items, "one"))
+    best = products.multiply(own, sims, top=k, hidden=hidden, decimals=6)
+    return products.unpacked(best, users, items, "user_id", "item_id", "score")
 
 
 def user_neighbors(weights: DataFrame, n: int = 50) -> DataFrame:
-    """The ``n`` most similar other users by cosine, lower ids first on ties."""
-    norms = weights.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    pairs = pair_sums(weights, "item_id", "user_id", "w").select("a", "b", "dot")
-    na = norms.select(F.col("user_id").alias("a"), F.col("norm").alias("xa"))
-    nb = norms.select(F.col("user_id").alias("b"), F.col("norm").alias("xb"))
-    sims = both_ways(pairs.join(na, "a").join(nb, "b").select(
-        "a", "b", (F.col("dot") / (F.col("xa") * F.col("xb") + EPSILON)).alias("sim")))
-    order = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
-    return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(
-        F.col("a").alias("user_id"), F.col("b").alias("neighbor_id"), "sim", "rank")
+    """The ``n`` most similar other users by cosine, lower ids first on ties.
+
+    Users lie in blocks with those of the same heaviest item.  The block a user lies in gives a first n-th cosine; as long as a user's
+    heaviest items leave a rest lighter than that, no user without one of these items can do better, so
+    only block pairs that share such an item are multiplied.  Of a pair of blocks only the best ``n`` per user leave.
+    """
+    norms = cut_lineage(weights.groupBy("user_id").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norms"), F.max_by("item_id", F.struct("w", "item_id")).alias("anchor")))
+    users = products.axis(norms, "user_id", near="anchor")
+    items = products.axis(weights.select("item_id").distinct(), "item_id")
+    blocks = cut_lineage(products.packed(weights, users, items, "w"))
+    ids, sizes = cut_lineage(users.ids()), cut_lineage(users.arrays(norms, "norms", "double"))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        best = products.multiply(blocks, products.turned(blocks), n, ids, pairs=pairs, skip_same=True, norms=sizes, hair=EPSILON)
+        return products.unpacked(best, users, users, "user_id", "neighbor_id", "sim")
+
+    same = blocks.select("i", F.col("i").alias("j")).distinct()
+    mine = nearest(same)
+    bound = mine.groupBy("user_id").agg(F.when(F.count(F.lit(1)) >= n, F.min("sim")).otherwise(0.0).alias("bound"))
+    # the heaviest items, until the rest is lighter than the bound (less a hair for the rounding of sums)
+    order = Window.partitionBy("user_id").orderBy(F.desc("w"), "item_id").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0)) / (F.col("norms") * F.col("norms"))
+    heads = weights.join(norms, "user_id").join(bound, "user_id", "left").withColumn("rest", F.lit(1.0) - share).filter(
+        F.col("rest") >= F.coalesce(F.col("bound") * F.col("bound"), F.lit(0.0)) - 1e-6).select("user_id", "item_id")
+    others = cut_lineage(products.reachable_pairs(blocks, heads, users, items).join(same, ["i", "j"], "left_anti"))
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("sim", 9)), "neighbor_id")
+    return mine.unionByName(nearest(others)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(
+        "user_id", "neighbor_id", "sim", "rank")
 
 
 def usercf_scores(weights: DataFrame, n: int = 50) -> DataFrame:
@@ -216,21 +261,28 @@ def user_seeds(behaviors: DataFrame, cfg: RecommendSettings, ref: Column | None
         F.col("rank") <= cfg.seeds).select("user_id", "item_id", "w")
 
 
-def content_scores(seeds: DataFrame, features: DataFrame, shelf: DataFrame | None = None) -> DataFrame:
-    """Sum of seed weight times cosine.
-
-    The seeds fold into one sparse taste vector per user first; its size is bounded by the number of
-    seeds, and the item side is met through the inverted index on features.
-    """
+def _taste_and_vectors(seeds: DataFrame, features: DataFrame, shelf: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One sparse taste vector per user, its size bounded by the number of seeds, and the vectors of the shelf."""
     norms = features.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     vectors = features.join(norms, "item_id")
     taste = seeds.join(vectors, "item_id").groupBy("user_id", "feature").agg(
         F.sum(F.col("w") * F.col("value") / F.col("norm")).alias("t"))
     side = vectors if shelf is None else vectors.join(shelf, "item_id", "left_semi")
-    side = side.select("item_id", "feature", (F.col("value") / (F.col("norm") + EPSILON)).alias("v"))
+    return taste, side.select("item_id", "feature", (F.col("value") / (F.col("norm") + EPSILON)).alias("v"))
+
+
+def content_scores(seeds: DataFrame, features: DataFrame, shelf: DataFrame | None = None) -> DataFrame:
+    """Sum of seed weight times cosine, for every user and every item that shares a feature: the whole table."""
+    taste, side = _taste_and_vectors(seeds, features, shelf)
     return taste.join(side, "feature").groupBy("user_id", "item_id").agg(F.sum(F.col("t") * F.col("v")).alias("score"))
 
 
+def content_heads(seeds: DataFrame, features: DataFrame, shelf: DataFrame, bought: DataFrame | None, k: int) -> DataFrame:
+    """The part of ``content_scores`` that can reach a list of ``k``, found with bounds over an inverted index."""
+    taste, side = _taste_and_vectors(seeds, features, shelf)
+    return best_scores(seeds, taste, features, side, bought, k)
+
+
 # ---- recommenders ----------------------------------------------------------------------------
 def _context(behaviors, items, orders, order_items, cfg):
     shelf = on_shelf(items, cfg)
@@ -271,7 +323,7 @@ def _item_totals(weights: DataFrame) -> DataFrame:
 def recommend_itemcf(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     weights = user_item_weights(behaviors, cfg)
-    return _with_fallback(itemcf_scores(weights, shelf), _item_totals(weights), users.select("user_id").distinct(),
+    return _with_fallback(itemcf_heads(weights, shelf, bought, cfg.top_k), _item_totals(weights), users.select("user_id").distinct(),
                           weights, shelf, bought, cfg.top_k)
 
 
@@ -285,8 +337,8 @@ def recommend_usercf(behaviors, items, orders, order_items, users, cfg=Recommend
 def recommend_content(behaviors, items, orders, order_items, users, cfg=RecommendSettings(), ref=None) -> DataFrame:
     shelf, bought = _context(behaviors, items, orders, order_items, cfg)
     ref = reference_day(behaviors, cfg) if ref is None else ref
-    seeds = user_seeds(behaviors, cfg, ref)
-    scored = content_scores(seeds, content_features(items, cfg.price_bins), shelf)
+    seeds = cut_lineage(user_seeds(behaviors, cfg, ref))
+    scored = content_heads(seeds, cut_lineage(content_features(items, cfg.price_bins)), shelf, bought, cfg.top_k)
     fallback = scaled(decayed_user_items(behaviors, cfg, ref).groupBy("item_id").agg(F.sum("w").alias("score")))
     return _with_fallback(scored, fallback, users.select("user_id").distinct(), seeds, shelf, bought, cfg.top_k)
 
