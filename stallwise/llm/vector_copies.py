@@ -173,11 +173,12 @@ def links(nodes: DataFrame, dim: int, count: int, settings: VectorSettings = Vec
 
     blocks = cut_lineage(rows.groupBy("t", "cell", "blocks", "block").applyInArrow(
         packed, "t long, cell long, blocks long, block long, ids binary, copies binary, units binary"))
-    first = blocks.select("t", "cell", "block", *[F.col(c).alias(f"{c}_l") for c in ("ids", "copies", "units")],
-                          F.explode(F.expr("sequence(block, blocks - 1)")).alias("to"))
-    second = blocks.select("t", "cell", F.col("block").alias("to"), *[F.col(c).alias(f"{c}_r") for c in ("ids", "copies", "units")])
-    meetings = first.join(second, ["t", "cell", "to"]).select(
-        "t", F.expr("block = to").alias("same"), *[f"{c}_{side}" for side in "lr" for c in ("ids", "copies", "units")])
+    sent = ("ids", "copies", "units")
+    alone = blocks.select("t", F.lit(True).alias("same"), *sent, *[F.lit(None).cast("binary").alias(f"{c}_r") for c in sent])
+    crowd = blocks.where("blocks > 1")  # a full cell's blocks meet each other, too
+    first = crowd.where("block < blocks - 1").withColumn("to", F.explode(F.expr("sequence(block + 1, blocks - 1)")))
+    second = crowd.select("t", "cell", F.col("block").alias("to"), *[F.col(c).alias(f"{c}_r") for c in sent])
+    meetings = alone.unionByName(first.join(second, ["t", "cell", "to"]).select("t", F.lit(False).alias("same"), *sent, *[f"{c}_r" for c in sent]))
 
     def compared(batches: Iterator) -> Iterator:
         import numpy as np
@@ -187,13 +188,13 @@ def links(nodes: DataFrame, dim: int, count: int, settings: VectorSettings = Vec
             for r in range(batch.num_rows):
                 t, same, *raw = (c[r].as_py() for c in batch.columns)
                 ids, copies, sides = [], [], []
-                for at in (0, 3):
+                for at in (0,) if same else (0, 3):
                     ids.append(np.frombuffer(raw[at], np.int64))
                     copies.append(np.frombuffer(raw[at + 1], np.int64))
                     units = np.frombuffer(raw[at + 2], np.float64).reshape(-1, dim)
                     turned = rotated(units, width, seed)
                     sides.append((units, turned, keys_of(turned)))
-                i, j = linked_pairs(*sides, t, same, settings)
+                i, j = linked_pairs(sides[0], sides[-1], t, same, settings)
                 if not len(i):
                     continue
                 if not same:
