@@ -22,8 +22,9 @@ SEED = 20261
 RANK_SHIFT = 64.0  # a piece of merge rank r weighs 1 / (r + RANK_SHIFT): early merges are frequent pieces
 SHARPNESS = 1.0  # power of that weight
 STEP_CHARS = 1_000_000  # characters whose lattices are searched together
-#: A node's log-mass below this cannot reach any sample: noise from 53-bit uniforms lies within -3.7 and 36.8.
-FLOOR = -64.0
+#: Noise from 53-bit uniforms lies within -3.7 and 36.8: a node's bound is at most its log-mass and this.
+MOST_NOISE = 36.9
+FIRST_PLACES = 256  # places of a path whose bounds say how far along the path others can still be among the best
 CACHE_NODES = 2_000_000  # lattice nodes a task keeps: about 200 MB
 
 
@@ -272,7 +273,7 @@ class Sampler:
         if new:
             lat.add(list(new))
         size = np.array([len(r) for r in rows], np.int64)
-        start = np.array(list(map(lat.start.__getitem__, flat)), np.int64)
+        start = np.fromiter(map(lat.start.__getitem__, flat), np.int64, len(flat))
         begin = np.cumsum(size) - size
         with np.errstate(over="ignore"):
             seeds = mixed_bits(np.array([(0 if k is None else k) & ((1 << 64) - 1) for k in keys], np.uint64)
@@ -295,18 +296,26 @@ class Sampler:
                 before = np.cumsum(step_log) - step_log
                 total = float(before[-1] + step_log[-1]) if len(path) else 0.0
                 out[i].append((path, total, float(bound)))
-                last = int(np.searchsorted(-before, -FLOOR, "right"))
-                if frozen < last:
-                    rest = before[frozen:last] + np.log(-np.expm1(np.minimum(step_log[frozen:last], -1e-300)))
-                    noise = uniforms(seeds[i:i + 1], 100 + nth, np.arange(frozen, last), 0)
-                    reach = -np.log(np.exp(-bound) - np.log(noise) * np.exp(-np.maximum(rest, FLOOR)))
-                    reach[(rest < FLOOR) | (step_log[frozen:last] > -1e-15)] = -np.inf
-                    best = np.argsort(-reach, kind="stable")[:self.samples]
-                    for j in best:
-                        if reach[j] > -np.inf:
-                            serial += 1
-                            heapq.heappush(heaps[i], (-float(reach[j]), serial, path, held, frozen + int(j), (int(path[frozen + j]),),
-                                                      float(before[frozen + j])))
+                best, frozen_upto, least = [], frozen, -math.inf
+                while frozen_upto < len(path):
+                    # the places from here on hold a mass of at most before[...]; below the last of the best they cannot come in
+                    end = min(frozen_upto + FIRST_PLACES, len(path)) if least == -math.inf else int(
+                        np.searchsorted(-before, MOST_NOISE - least, "right"))
+                    if end <= frozen_upto:
+                        break
+                    part = slice(frozen_upto, end)
+                    rest = before[part] + np.log(-np.expm1(np.minimum(step_log[part], -1e-300)))
+                    noise = uniforms(seeds[i:i + 1], 100 + nth, np.arange(frozen_upto, end), 0)
+                    reach = -np.log(np.exp(-bound) - np.log(noise) * np.exp(-np.maximum(rest, -700.0)))
+                    reach[step_log[part] > -1e-15] = -np.inf
+                    top_few = np.argpartition(-reach, self.samples)[:self.samples] if len(reach) > self.samples else range(len(reach))
+                    best += [(-float(reach[j]), frozen_upto + int(j)) for j in top_few if reach[j] > -np.inf]
+                    best = sorted(best)[:self.samples]
+                    least = -best[-1][0] if len(best) == self.samples else -math.inf
+                    frozen_upto = end
+                for minus_reach, at in best:
+                    serial += 1
+                    heapq.heappush(heaps[i], (minus_reach, serial, path, held, at, (int(path[at]),), float(before[at])))
             if nth == self.samples:
                 break
             turn, bounds, heads, nodes, keys_of, places, counts = [], [], [], [], [], [], []
