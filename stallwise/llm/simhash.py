@@ -42,7 +42,7 @@ def fingerprint_bytes(text: str | None, shingle: int = SHINGLE, seed: int = SEED
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` plus a signed 64-bit fingerprint, computed in Arrow batches; no rows move."""
     import pyarrow as pa
 
@@ -50,7 +50,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> Da
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint_bytes(t.as_py()) for t in batch.column(position)]
+            values = [fingerprint_bytes(t.as_py(), shingle) for t in batch.column(position)]
             signed = pa.array([v - (1 << BITS) if v >> (BITS - 1) else v for v in values], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, signed], names=[*batch.schema.names, out])
 
@@ -98,9 +98,9 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, group, component_id); ``group`` is the smallest fingerprint that can be reached."""
-    hashed = cut_lineage(with_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    hashed = cut_lineage(with_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle=shingle)
                          .select("doc_id", "fp"))
     prints = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(links(prints.select("fp")))
@@ -123,15 +123,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, columns unchanged: the row with the smallest key.
 
+    ``shingle``: words of a shingle.
+
     Of several rows with that key (repeated rows) one stays.  A group whose keys are all null keeps one of its rows.
     """
-    found = cut_lineage(_grouped(docs, key, text))
+    found = cut_lineage(_grouped(docs, key, text, shingle))
     keep = found.where("component_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     named = docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi").dropDuplicates([key])
     fp = fresh(docs, "fp")
     alone = found.where("component_id is null and fp = group").select(F.col("fp").alias(fp)).distinct()
-    unnamed = with_fingerprint(docs.where(F.col(key).isNull()), text, fp).join(alone, fp, "left_semi").dropDuplicates([fp])
+    unnamed = with_fingerprint(docs.where(F.col(key).isNull()), text, fp, shingle).join(alone, fp, "left_semi").dropDuplicates([fp])
     return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
