@@ -23,7 +23,7 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
   (upto // source_size) * size + greatest(0, least(start + size, upto % source_size) - start) END::BIGINT AS taken FROM p""",
 
     "op3_quality_rules": f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
 h AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM h WHERE c IS NOT NULL) WHERE n > 1),
@@ -31,8 +31,19 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id,
 lines AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-telling AS (SELECT doc_id, min(md5(concat_ws(' ', a, b, c))) AS least FROM h WHERE length(a) >= 8 GROUP BY doc_id),
-sig AS (SELECT doc_id, source, coalesce(least, md5(t)) AS signature FROM d LEFT JOIN telling USING (doc_id)),
+texts AS MATERIALIZED (SELECT source, md5(t) AS id, any_value(w) AS w FROM d GROUP BY source, md5(t)),
+win AS MATERIALIZED (SELECT DISTINCT source, id, unnest(list_transform(range(1, len(w) - 1), lambda i: md5(concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS g
+  FROM texts WHERE len(w) >= 3),
+wins AS (SELECT source, id, count(*) AS n FROM win GROUP BY source, id),
+shared AS (SELECT a.source, a.id AS a, b.id AS b, count(*) AS equal FROM win a JOIN win b ON a.g = b.g AND a.source IS NOT DISTINCT FROM b.source AND a.id < b.id
+  GROUP BY ALL),
+alike AS MATERIALIZED (SELECT s.source, a, b FROM shared s JOIN wins x ON x.id = a AND x.source IS NOT DISTINCT FROM s.source
+  JOIN wins y ON y.id = b AND y.source IS NOT DISTINCT FROM s.source WHERE equal >= 0.95::DOUBLE * (x.n + y.n - equal)),
+edge AS MATERIALIZED (SELECT source, a, b FROM alike UNION ALL SELECT source, b, a FROM alike),
+reach(source, id, root) AS (SELECT source, id, id FROM texts UNION SELECT r.source, r.id, e.b FROM reach r JOIN edge e
+  ON e.a = r.root AND e.source IS NOT DISTINCT FROM r.source),
+group_of AS (SELECT source, id, min(root) AS root FROM reach GROUP BY source, id),
+sig AS (SELECT doc_id, d.source, root AS signature FROM d JOIN group_of g ON g.id = md5(t) AND g.source IS NOT DISTINCT FROM d.source),
 n AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
   len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
 hosts AS (SELECT source, count(DISTINCT signature) AS documents FROM sig GROUP BY source),

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from stallwise.llm import quality_rules
+from stallwise.llm.contracts_sql import SQL
 from stallwise.llm.quality_rules import RuleSettings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,3 +84,57 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1)], SCHEMA)
     plan = quality_rules.measures(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _near_copies(dice, groups):
+    """Groups of ten texts of 300 words with at most two changed."""
+    out = []
+    for g in range(groups):
+        base = [f"w{dice.randrange(10 ** 6)}" for _ in range(300)]
+        for _ in range(10):
+            words = list(base)
+            for _ in range(dice.randrange(3)):
+                words[dice.randrange(300)] = f"x{dice.randrange(10 ** 6)}"
+            out.append("\n".join(" ".join(words[i:i + 20]) for i in range(0, 300, 20)))
+    return out
+
+
+def test_recall_of_copies_is_at_least_nine_in_ten(spark):
+    texts = sorted(set(_near_copies(random.Random(8), 30)))
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.95 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    from pyspark.sql import functions as F
+    found = quality_rules.measures(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("hk", F.lit(1).cast("long"))
+    component = {r.node: r.component for r in quality_rules.copies(found, docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").alias("t")), 0.95).collect()}
+    rows = found.withColumn("node", quality_rules.document_node()).select("doc_id", "node").collect()
+    documents = len({component.get(r.node, r.node) for r in rows})
+    merged, want = len(texts) - documents, len(texts) - len(set(root))
+    assert want > 100 and 0.9 * want <= merged <= 1.05 * want
+
+
+@pytest.mark.parametrize("own", [3, 15])
+def test_check_sql_has_the_same_rule(spark, own):
+    """Template pages, whose lines reach the limits, near copies, whose lines would if each counted, and a null host."""
+    import duckdb
+    import pandas as pd
+    template = "\n".join(" ".join(f"template{_word(i, j, 0)}" for j in range(10)) for i in range(6))
+    rows = [(i, template + "\n" + " ".join(f"particular{_word(i % 26, i // 26, j)}" for j in range(own)), "en", "a.example", 0) for i in range(60)]
+    rows += [(100 + i, t, "en", "b.example", 0) for i, t in enumerate(_near_copies(random.Random(5), 8))]
+    story = "\n".join(" ".join(f"wonderful{_word(j)} story{_word(k)} of{_word(k)}" for k in range(12)) for j in range(6))
+    rows += [(300 + i, story + "\nnear copy " + _word(i), "en", None, 0) for i in range(40)] + [(400, None, None, None, 0), (401, "", "en", "a.example", 0)]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    con.execute("CREATE VIEW documents AS SELECT doc_id, text, lang, source, n_chars FROM given")
+    got = quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).drop("host", "text_hash")
+    names = sorted(got.columns)
+    as_rows = sorted(tuple(r[c] for c in names) for r in got.collect())
+    want = con.execute(SQL["op3_quality_rules"]).fetchall()
+    order = [d[0] for d in con.description]
+    assert as_rows == sorted(tuple(r[order.index(c)] for c in names) for r in want)
+    assert any(r[names.index("removed_words")] for r in as_rows)
