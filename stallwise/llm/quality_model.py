@@ -83,14 +83,16 @@ def features(text: str | None, cache: dict):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, label, text) of at most ``sample_rows`` labelled rows outside the held-out quarter.
 
-    A document with several labels has the largest, null labels do not count; of several texts of one id each is used.
+    A document with several labels has the largest, null labels do not count; of several texts of one id the one with the smallest
+    hash is used, so a repeated id is one row.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("label"))
     seen = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)
     some = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     narrow = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return narrow.join(some, "doc_id").select("doc_id", "label", "text")
+    return narrow.join(some, "doc_id").groupBy("doc_id", "label").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def dual_descent(rows, signs, values, width: int, settings: QualitySettings, seed: int):

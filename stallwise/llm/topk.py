@@ -15,7 +15,6 @@ QUERY_EVERY = 50
 
 BLOCK = 1024  # vectors of a candidate block and of a query block
 DIMENSIONS = 16  # dimensions added per step
-MEETINGS = 64  # keys by which every query block meets every candidate block
 EXACT = float(1 << 52)  # sums of whole numbers below this are exact in a double
 
 
@@ -107,18 +106,20 @@ def top_products(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     left out.  Both sides are packed in blocks and every query block meets every candidate block once, by an equality key;
     a cell hands on its best ``top`` per query only.
 
-    Vectors that are null or hold a null or non-finite component, and rows without a key, take no part on either side.
+    Vectors that are null or hold a null or non-finite component, and rows without a key, take no part on either side.  Components
+    beyond 2^63 / 256 saturate at a long's limits, as do scores beyond a long.
     Empty vectors score 0; of vectors of different lengths the shorter one ends in zeros.  Repeated rows are candidates,
     and queries, of their own.  Empty tables give no rows; extra columns are ignored.
     """
     arrow_rows(vectors.sparkSession, BLOCK)
-    deal = F.pmod(F.xxhash64("ids"), F.lit(MEETINGS))
-    cand = cut_lineage(_packed(whole_vectors(vectors, key, vector)).withColumn("meet", deal))
+    cand = cut_lineage(_packed(whole_vectors(vectors, key, vector)))
+    meetings = max(cand.count(), 1)  # keys by which every query block meets every candidate block: about one block each
+    cand = cand.withColumn("meet", F.pmod(F.xxhash64("ids"), F.lit(meetings).cast("long")))
     asked = cut_lineage(_packed(whole_vectors(queries, key, vector)).withColumn("block", F.monotonically_increasing_id()))
     arrow_rows(vectors.sparkSession, 16)
     cells = cand.join(asked.select(
         F.col("n").alias("qn"), F.col("width").alias("qwidth"), F.col("ids").alias("qids"), F.col("columns").alias("qcolumns"),
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MEETINGS - 1).cast("long"))).alias("meet")), "meet")
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(meetings - 1).cast("long"))).alias("meet")), "meet")
 
     def searched(batches: Iterator) -> Iterator:
         import numpy as np

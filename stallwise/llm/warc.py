@@ -75,10 +75,10 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class Window:
-    """A stretch of a stream: grows at its end on demand, is dropped at its start once read."""
+    """A stretch of a stream: grows at its end on demand, is dropped at its start once read, which copies nothing."""
 
     def __init__(self, read: Callable[[int], bytes]):
-        self.read, self.data, self.base, self.ended = read, b"", 0, False
+        self.read, self.data, self.base, self.ended = read, bytearray(), 0, False
 
     def more(self) -> bool:
         got = b"" if self.ended else self.read(max(READ_BYTES, len(self.data)))
@@ -87,7 +87,8 @@ class Window:
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.data, self.base = self.data[n:], self.base + n
+        del self.data[:n]
+        self.base += n
 
     def find(self, marks: tuple[bytes, ...], start: int) -> int:
         """Place of the first mark at or after ``start``; at the stream's end its length."""
@@ -127,7 +128,7 @@ def _plain(w: Window) -> tuple[bytes, int]:
         raise ValueError("no length")
     while len(w.data) < size and w.more():
         pass
-    return w.data[:size], size
+    return bytes(w.data[:size]), size
 
 
 def salvage(read: Callable[[int], bytes]) -> Iterator[tuple]:
@@ -234,7 +235,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     payload; for a revisit the payload is null and digest and length are those of the payload it stands for.  Without
     ``payloads`` the payloads are checked and measured, but not handed on.
     """
-    files = archives.select("path").repartition("path")
+    # an explicit number, one archive a partition: paths are so small that they would be put together
+    paths = archives.select("path")
+    files = paths.repartitionByRange(max(paths.count(), 1), "path")
 
     def opened(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -118,3 +118,11 @@ def test_ordinal_fit_lowers_the_loss():
     grades = np.digitize(1.5 * x + dice.logistic(size=600), [0.5, 1.5, 3.0])
     w, cuts = toxicity.ordinal_fit(np.arange(600), np.zeros(600, int), x, grades, 1, 0.0, 500)
     assert abs(w[0] - 1.5) < 0.3 and np.allclose(cuts, [0.5, 1.5, 3.0], atol=0.5)
+
+
+def test_one_id_of_many_rows_is_one_training_row(spark):
+    from stallwise.llm.quality_model import training_rows
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(10_000)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, "quality", 100).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) <= 39 and 1 in {r.doc_id for r in rows}
