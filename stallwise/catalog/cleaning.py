@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning as C
 from ..plans.cleaning import clean_tables
 from ..schemas import LOAD_ORDER, columns_of, key_of
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import raw as X
 from ..sources import tables as S
 from ..sources.worlds import table
@@ -202,6 +202,43 @@ def _update(spark, d):
 _add("A06_update_by_key", _update, """SELECT o_orderkey, o_custkey, coalesce(s.t, o_totalprice) AS o_totalprice FROM orders
 LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS t FROM lineitem GROUP BY 1) s ON o_orderkey = s.l_orderkey""")
 
+
+
+def _merge(spark, d):
+    """Two events of one day and a new one of another are merged; per day the rows, the total, and whether its files are the old ones."""
+    path = scratch_path(spark, "days")
+    days = table(spark, d, "events").select("event_id", "user_id", "value", F.to_date("ts").alias("event_date"))
+    S.write_table(days, path, "event_date")
+    files = lambda name: spark.read.parquet(path).select("event_date", "_metadata.file_path", "_metadata.file_modification_time").groupBy(
+        "event_date").agg(F.array_sort(F.collect_set(F.struct("file_path", "file_modification_time"))).alias(name))
+    before = cut_lineage(files("before"))
+    changed = days.filter("event_date = '2024-01-05' and event_id % 2 = 0").withColumn("value", F.lit(1.0)).withColumn(
+        "event_date", F.lit("2024-01-09").cast("date"))  # a known key stays where it is
+    new = days.agg((F.max("event_id") + 1).alias("event_id"), F.lit(7).cast(days.schema["user_id"].dataType).alias("user_id"), F.lit(2.0).alias("value"),
+                   F.lit("2024-01-20").cast("date").alias("event_date"))
+    S.merge_partitions(spark, path, changed.unionByName(new), "event_id", ["value"], "event_date")
+    totals = spark.read.parquet(path).groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+    return totals.join(before, "event_date").join(files("after"), "event_date").select(
+        "event_date", "rows", "total", (F.col("before") == F.col("after")).alias("untouched"))
+
+
+_add("A06_merge_touched_days", _merge, """WITH e AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-05' AND event_id % 2 = 0 THEN 1.0 ELSE value END AS value
+ FROM events UNION ALL SELECT DATE '2024-01-20', 2.0)
+SELECT CAST(day AS VARCHAR) AS event_date, count(*) AS rows, round(sum(value), 2) AS total,
+ CAST(day NOT IN (DATE '2024-01-05', DATE '2024-01-20') AS BIGINT) AS untouched FROM e GROUP BY day""")
+
+
+def _measured(spark, d):
+    """What a write observes of the rows that pass."""
+    path = scratch_path(spark, "measured")
+    e = table(spark, d, "events").withColumn("event_date", F.to_date("ts"))
+    return S.table_records(spark, {"events": S.write_measured(e, path, "event_date", "ts"),
+                                   "customer": S.write_measured(table(spark, d, "customer"), path + "-c")})
+
+
+_add("A08_observed_write", _measured, """SELECT 'events' AS table_name, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_time,
+ strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_time FROM events UNION ALL SELECT 'customer', count(*), NULL, NULL FROM customer""")
+
 _CORE = ("customer", "part", "orders", "lineitem", "events", "nation")
 _add("A07_row_counts", lambda s, d: S.row_counts({t: table(s, d, t) for t in _CORE}),
      " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _CORE))

@@ -13,6 +13,9 @@ from ..operators import profiles as R
 from ..operators import retention as N
 from ..operators import revenue as V
 from ..operators import value as U
+from ..plans.analysis import LARGE, run_analysis
+from ..plans.features import run_features
+from ..session import scratch_path
 from ..settings import BasketSettings
 from ..sources.worlds import event_world, order_world
 from .basic import LIFE_SQL, RFM_SQL
@@ -73,3 +76,26 @@ UNION ALL SELECT * FROM (SELECT 'association', 'lift', antecedent || ' + ' || co
 UNION ALL SELECT * FROM (SELECT 'segmentation', 'size', cluster_name, size FROM {_own('E16_cluster_names')} ORDER BY size DESC, cluster_id DESC LIMIT 1)"""
 
 ENTRIES["E19_findings"] = Entry(lambda spark, sf_dir: portable(_findings(spark, sf_dir)), _SQL)
+
+
+def _counted_rows(**names) -> str:
+    """Rows of each written table, by the SQL of the query that makes it."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM ({ENTRIES[n].sql})) AS rows" for t, n in names.items())
+
+
+def _run(run):
+    """The rows that a whole run observed of the tables it wrote."""
+    def made(spark, d):
+        w = event_world(spark, d)
+        out = scratch_path(spark, "run")
+        run(spark, {"users": w.users, "items": w.items, "user_behaviors": w.behaviors, "orders": w.orders, "order_items": w.order_items}, out)
+        return portable(spark.read.json(f"{out}/table_records").select("table_name", "rows"))
+    return made
+
+
+ENTRIES["E20_run_records"] = Entry(
+    lambda spark, d: _run(run_analysis)(spark, d).filter(F.col("table_name").isin(*LARGE)),
+    _counted_rows(rfm_users="D23_rfm", lifecycle_users="E01_user_lifecycle", item_lifecycle="E05_item_lifecycle", user_profile="E17_user_profile",
+                  item_profile="E18_item_profile", user_segments="E14_segmentation_features", register_trend="D02_register_trend"))
+ENTRIES["F05_run_records"] = Entry(_run(run_features), _counted_rows(
+    user_features="F01_user_features", item_features="F02_item_features", user_item_features="F03_user_item_features"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import item_features, observation_window, user_features, user_item_features
 from ..settings import FeatureSettings
-from ..sources.tables import run_record, write_json, write_table
+from ..sources.tables import run_record, table_records, write_json, write_measured
 
 KEYS = {"user_features": ("user_id",), "item_features": ("item_id",), "user_item_features": ("user_id", "item_id")}
 _ATTRIBUTES = {
@@ -56,13 +56,13 @@ def run_features(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str
         "item_features": item_features(items, behaviors, lines, orders, cfg),
         "user_item_features": user_item_features(behaviors, items, cfg),
     }
-    for name, df in built.items():
-        write_table(df, f"{out_dir}/{name}")
+    measured = {name: write_measured(df, f"{out_dir}/{name}") for name, df in built.items()}
+    write_json(table_records(spark, measured), f"{out_dir}/table_records")
     written = {name: spark.read.parquet(f"{out_dir}/{name}") for name in built}
     write_json(feature_dictionary(written, cfg.observation_days), f"{out_dir}/feature_dictionary")
     start, end = observation_window(behaviors, cfg.observation_days, cfg.obs_end)
     window = spark.range(1).select(start.alias("s"), end.alias("e")).first()
-    record = run_record(spark, job="features", obs_start=window["s"], obs_end=window["e"],
+    record = run_record(spark, job="features", rows=sum(m["rows"] for m in measured.values()), obs_start=window["s"], obs_end=window["e"],
                         observation_days=cfg.observation_days, session_gap_minutes=cfg.session_gap_minutes, weights=cfg.weights)
     write_json(record, f"{out_dir}/run_record")
     return record

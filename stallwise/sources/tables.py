@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, columns_of, require_columns
+from ..session import cut_lineage
 
 
 def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -47,6 +48,26 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_measured(df: DataFrame, path: str, partition_by: str | None = None, time: str | None = None, as_json: bool = False) -> dict[str, object]:
+    """Write a table and return its ``rows`` (with ``time`` its ``first_time`` and ``last_time``, too).
+
+    The figures are observed while the rows go by to the files, in the writing stage itself: no second scan, and a row that a retried
+    task writes again counts once.
+    """
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    figures = [F.count(F.lit(1)).alias("rows")]
+    if time:
+        figures += [stamp(F.min(time)).alias("first_time"), stamp(F.max(time)).alias("last_time")]
+    seen = Observation()
+    if partition_by:
+        df = df.hint("rebalance", F.col(partition_by))
+    writer = df.observe(seen, *figures).write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.json(path) if as_json else writer.parquet(path)
+    return seen.get
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
@@ -71,6 +92,26 @@ def update_by_key(df: DataFrame, updates: DataFrame, key: str, columns: list[str
         F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def merge_partitions(spark: SparkSession, path: str, updates: DataFrame, key: str, columns: list[str], partition_by: str) -> None:
+    """New values of ``columns`` by key, and rows with unseen keys, into a partitioned table: only the partitions that hit are rewritten.
+
+    ``updates`` has every column of the table.  A known key stays in its partition and keeps its other columns; of several
+    updates of a key the smallest row counts.  The partitions are found by key over the two narrow columns, read, merged and
+    written aside; then they replace the old ones, and all other files stay as they are.
+    """
+    table = spark.read.parquet(path)
+    once = cut_lineage(updates.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*table.columns)).alias("_row")).select("_row.*"))
+    places = table.select(key, F.col(partition_by).alias("_place"))
+    found = cut_lineage(once.join(places, key, "left").withColumn("_seen", F.col("_place").isNotNull()).withColumn(
+        "_place", F.coalesce("_place", partition_by)))
+    touched = found.select(F.col("_place").alias(partition_by)).distinct()
+    kept = table.join(touched, partition_by, "left_semi").select(*table.columns)
+    merged = update_by_key(kept, found.filter("_seen"), key, columns).unionByName(found.filter("not _seen").select(*table.columns))
+    staged = cut_lineage(merged)
+    staged.hint("rebalance", F.col(partition_by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        partition_by).parquet(path)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counted = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
                for name, df in tables.items()]
@@ -87,6 +128,12 @@ def event_record(source: str, df: DataFrame, time: str) -> DataFrame:
                   F.count(F.lit(1)).alias("rows"))
 
 
+def table_records(spark: SparkSession, measured: dict[str, dict[str, object]]) -> DataFrame:
+    """(table_name, rows, first_time, last_time): what ``write_measured`` saw of each table of a run."""
+    rows = [(name, m["rows"], m.get("first_time"), m.get("last_time")) for name, m in measured.items()]
+    return spark.createDataFrame(rows, "table_name string, rows long, first_time string, last_time string")
+
+
 def run_record(spark: SparkSession, **facts) -> DataFrame:
     """One row of lineage facts about a run."""
     values = {k: None if v is None else str(v) for k, v in facts.items()}

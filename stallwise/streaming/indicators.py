@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.scalar import cents, weight_of
 from ..session import scratch_path
@@ -76,16 +79,56 @@ def run_available(stream: DataFrame, out: str | None = None, checkpoint: str | N
     return run_counting_late(stream, out, checkpoint)[0]
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that a query's stateful operators dropped, batch by batch, however many batches there are.
+
+    A batch is counted once, under its number, even if its progress is reported again.
+    """
+
+    def __init__(self) -> None:
+        self.by_batch: dict[tuple[str, int], int] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _end_of(self, run: str) -> threading.Event:
+        with self._lock:
+            return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.by_batch[str(p.runId), p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        self._end_of(str(event.runId)).set()
+
+    def total(self, run: str, wait_seconds: float = 60.0) -> int:
+        """Dropped rows of an ended query; reports arrive in order, so after its end all of its batches are in."""
+        if not self._end_of(run).wait(wait_seconds):
+            raise TimeoutError(f"no report of the end of query {run}")
+        return sum(n for (r, _), n in self.by_batch.items() if r == run)
+
+
 def run_counting_late(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, int]:
     """``run_available`` together with the number of rows that came too late for the watermark and were dropped."""
     spark = stream.sparkSession
     out = out or scratch_path(spark, "stream")
     checkpoint = checkpoint or scratch_path(spark, "state")
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start(out))
-    query.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
-    return spark.read.schema(stream.schema).parquet(out), late
+    late = LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start(out))
+        query.awaitTermination()
+        dropped = late.total(str(query.runId))
+    finally:
+        spark.streams.removeListener(late)
+    return spark.read.schema(stream.schema).parquet(out), dropped
 
 
 def run_top_items(heat: DataFrame, k: int = 10, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
