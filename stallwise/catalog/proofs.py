@@ -53,7 +53,7 @@ register("G09_G12_forest_importances", _importances, f"SELECT {len(T.USER_FEATUR
 def _told_apart(w):
     """A label that one feature decides: both models must rank almost all pairs right."""
     panel = cut_lineage(_split(w).withColumn("label", (F.col("total_behaviors") >= 20).cast("int")))
-    _, metrics, _ = M.train_and_evaluate(panel, ModelSettings(trees=50))
+    _, metrics, _ = M.train_and_evaluate(panel, ModelSettings())
     return metrics.filter("split = 'test'").select("model", "split", "n_samples", (F.col("roc_auc") > 0.95).alias("told_apart"))
 
 
@@ -88,6 +88,15 @@ def _cluster_sizes(w):
 register("E15_cluster_sizes", _cluster_sizes, "SELECT count(DISTINCT user_id) AS users, 1 AS falling FROM behaviors")
 
 
+def _named_clusters(w):
+    """The clusters of all users, named: every user lies in one, and every cluster has one of the known names."""
+    named = M.name_clusters(M.assign_clusters(M.segmentation_features(w.behaviors, w.orders)))
+    return named.agg(F.sum("size").alias("users"), F.count(F.lit(1)).alias("clusters"), F.count("cluster_name").alias("named"))
+
+
+register("E16_named_clusters", _named_clusters, "SELECT count(DISTINCT user_id) AS users, 4 AS clusters, 4 AS named FROM behaviors")
+
+
 def _dictionary_counts(w):
     table = feature_dictionary({"user_features": T.user_features(*_tables(w)), "user_item_features": T.user_item_features(w.behaviors, w.items)})
     keys = table.filter(F.col("field").isin("user_id", "item_id", "total_behaviors"))

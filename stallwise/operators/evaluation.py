@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import scalar_row
 from ..session import cut_lineage
 from ..settings import WEIGHT_SETS, EvaluationSettings, RecommendSettings
-from .recommend import RECOMMENDERS
+from .recommend import RECOMMENDERS, global_heads, on_shelf, popular_scores_by_weights, purchased
 
 METRICS = ("precision", "recall", "f1", "hit_rate", "ndcg")
 
@@ -142,8 +142,15 @@ def _ranked(table: DataFrame) -> DataFrame:
 def weight_experiment(behaviors, items, orders, order_items, cfg: EvaluationSettings = EvaluationSettings(),
                       settings: RecommendSettings = RecommendSettings(), sets: dict = WEIGHT_SETS,
                       leak_purchases: bool = False) -> DataFrame:
-    variants = {n: ("popular", replace(settings, weights=w)) for n, w in sets.items()}
-    rows = _evaluated(variants, "experiment", behaviors, items, orders, order_items, cfg, leak_purchases)
+    """The popular list under several sets of weights, ranked; the sets are rows of one job, the behaviours are reduced once."""
+    cut, train, truth, users = _test_setup(behaviors, cfg)
+    truth, users = cut_lineage(truth), cut_lineage(users)
+    names, cfg_k = tuple(sets), replace(settings, top_k=cfg.k)
+    scores = popular_scores_by_weights(train, sets, "experiment", cfg_k, cut).join(on_shelf(items, cfg_k), "item_id", "left_semi")
+    known = _known_orders(orders, cut, leak_purchases)
+    bought = purchased(known, order_items, cfg_k.purchased_until) if cfg_k.drop_purchased else None
+    lists = cut_lineage(global_heads(scores, users, bought, cfg.k, "experiment", names))
+    rows = evaluate_lists(lists, truth, items, cfg.k, "experiment", names)
     types = next(iter(sets.values()))
     weights = [reduce(lambda c, n: F.when(F.col("experiment") == n, F.lit(sets[n][t])).otherwise(c), sets, F.lit(None).cast("double")).alias(t)
                for t in types]

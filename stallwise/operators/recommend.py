@@ -8,6 +8,7 @@ user must not see.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,38 +66,43 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("user_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
-def positions(scores: DataFrame) -> DataFrame:
-    """``position`` 1.. of items by score without sorting them in one task; scores may cluster as they like."""
+def positions(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``position`` 1.. of items by score (per ``by``) without sorting them in one task; scores may cluster as they like."""
     numbered = scores.withColumns({"key": F.round("score", 6), "one": F.lit(1)})
-    return running_total(even_buckets(numbered, [F.desc("key"), F.col("item_id")]), "bucket", [F.desc("key"), "item_id"], ["one"]).select(
-        "item_id", "score", F.col("cum_one").alias("position"))
+    order = [F.desc("key"), F.col("item_id")]
+    return running_total(even_buckets(numbered, [*by, *order]), "bucket", order, ["one"], by).select(
+        *by, "item_id", "score", F.col("cum_one").alias("position"))
 
 
-def global_heads(scores: DataFrame, users: DataFrame, excluded: DataFrame | None, k: int) -> DataFrame:
+def global_heads(scores: DataFrame, users: DataFrame, excluded: DataFrame | None, k: int, by: str | None = None,
+                 names: tuple[str, ...] = ()) -> DataFrame:
     """First ``k`` items of a global list per user, skipping the user's excluded items.
 
     A user with x excluded items on the list finds ``k`` others within the first k + x places, so
     the rows made here grow with users and exclusions only.  The numbered list is read several times
-    and is written once.
+    and is written once.  With ``by`` there is one list for each of its ``names``, all handled in one go.
     """
-    ranked = cut_lineage(positions(scores))
+    lists = (by,) if by else ()
+    ranked = cut_lineage(positions(scores, lists))
+    if by:
+        users = users.withColumn(by, F.explode(F.array(*[F.lit(n) for n in names])))
     if excluded is None:
-        reach = users.select("user_id", F.lit(k).cast("long").alias("reach"))
-        spots = reach.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), "reach")).alias("position"))
-        return spots.join(ranked.filter(F.col("position") <= k), "position").select(
-            "user_id", "item_id", "score", F.col("position").alias("rank"))
-    skip = excluded.join(users, "user_id", "left_semi").join(ranked.select("item_id", "position"), "item_id").select(
-        "user_id", "position")
-    n_skip = skip.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    reach = users.join(n_skip, "user_id", "left").select(
-        "user_id", (F.lit(k) + F.coalesce("n", F.lit(0))).cast("long").alias("reach"))
+        reach = users.select(*lists, "user_id", F.lit(k).cast("long").alias("reach"))
+        spots = reach.select(*lists, "user_id", F.explode(F.sequence(F.lit(1).cast("long"), "reach")).alias("position"))
+        return spots.join(ranked.filter(F.col("position") <= k), [*lists, "position"]).select(
+            *lists, "user_id", "item_id", "score", F.col("position").alias("rank"))
+    skip = excluded.join(users.select("user_id").distinct() if by else users, "user_id", "left_semi").join(
+        ranked.select(*lists, "item_id", "position"), "item_id").select(*lists, "user_id", "position")
+    n_skip = skip.groupBy(*lists, "user_id").agg(F.count(F.lit(1)).alias("n"))
+    reach = users.join(n_skip, [*lists, "user_id"], "left").select(
+        *lists, "user_id", (F.lit(k) + F.coalesce("n", F.lit(0))).cast("long").alias("reach"))
     longest = scalar_row(n_skip, n=F.coalesce(F.max("n"), F.lit(0)))["n"] + k
-    spots = reach.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), "reach")).alias("position"))
-    free = spots.join(skip, ["user_id", "position"], "left_anti")
-    listed = free.join(ranked.filter(F.col("position") <= longest), "position")
-    order = Window.partitionBy("user_id").orderBy("position")
+    spots = reach.select(*lists, "user_id", F.explode(F.sequence(F.lit(1).cast("long"), "reach")).alias("position"))
+    free = spots.join(skip, [*lists, "user_id", "position"], "left_anti")
+    listed = free.join(ranked.filter(F.col("position") <= longest), [*lists, "position"])
+    order = Window.partitionBy(*lists, "user_id").orderBy("position")
     return listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "user_id", "item_id", "score", "rank")
+        *lists, "user_id", "item_id", "score", "rank")
 
 
 def with_attributes(recs: DataFrame, items: DataFrame, algorithm: str) -> DataFrame:
@@ -136,6 +142,29 @@ def popular_scores(behaviors: DataFrame, cfg: RecommendSettings = RecommendSetti
     return scaled(topped.filter(seen).select("item_id", total.alias("score")))
 
 
+def popular_scores_by_weights(behaviors: DataFrame, sets: dict[str, dict[str, float]], by: str, cfg: RecommendSettings = RecommendSettings(),
+                              ref: Column | None = None) -> DataFrame:
+    """(``by``, item_id, score): ``popular_scores`` under several sets of weights, from one pass over the behaviours.
+
+    A weight cancels when a type is scaled by its maximum, so the scaled components are the same for all sets; they are made once, and
+    the sets join them as rows.
+    """
+    ref = reference_day(behaviors, cfg) if ref is None else ref
+    plain = replace(cfg, weights={t: 1.0 for t in BEHAVIOR_TYPES})
+    parts = decayed_components(behaviors, plain, ref)
+    topped = parts.withColumn("_top", scalar_row(parts, **{t: F.max(t) for t in BEHAVIOR_TYPES}))
+    shares = topped.select("item_id", *[by_maximum(t, F.col(f"_top.{t}")).alias(t) for t in BEHAVIOR_TYPES])
+    rows = F.array(*[F.struct(F.lit(n).alias(by), *[F.lit(float(w.get(t, 0.0))).alias(f"w_{t}") for t in BEHAVIOR_TYPES]) for n, w in sets.items()])
+    each = shares.select("*", F.inline(rows))
+    total, seen = F.lit(0.0), F.lit(False)
+    for t in BEHAVIOR_TYPES:
+        total = total + F.col(t) * F.col(f"w_{t}")
+        seen = seen | ((F.col(t) > 0) & (F.col(f"w_{t}") > 0))
+    scored = cut_lineage(each.filter(seen).select(by, "item_id", total.alias("score")))
+    spread = scored.groupBy(by).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    return scored.join(spread, by).select(by, "item_id", min_max("score", "low", "high").alias("score"))
+
+
 # ---- weights and neighbours ------------------------------------------------------------------
 def user_item_weights(behaviors: DataFrame, cfg: RecommendSettings) -> DataFrame:
     weight = weight_of("behavior_type", cfg.weights)
