@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -393,10 +394,15 @@ class Sampler:
         return out, np.diff(ends)
 
 
+def spelt(ids: list[int], surface: list[bytes]) -> bytes:
+    """The bytes that piece ids stand for, without the one blank that encoding puts in front."""
+    raw = b"".join(itemgetter(*ids, 0)(surface)[:-1]) if ids else b""
+    return raw[1:] if raw.startswith(b" ") else raw
+
+
 def decoded(ids: list[int], surface: list[bytes]) -> str:
-    """Text of piece ids: their surfaces, without the one blank that encoding puts in front."""
-    raw = b"".join([surface[i] for i in ids])
-    return raw[1:].decode("utf-8", "replace") if raw.startswith(b" ") else raw.decode("utf-8", "replace")
+    """Text of piece ids."""
+    return spelt(ids, surface).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, seed: int = SEED, key: str = "doc_id",
@@ -435,9 +441,10 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, se
                 columns: list[list] = [[] for _ in range(6)]
                 nth = 0
                 for k, t, row in zip(keys[at:end], texts[at:end], found):
-                    plain = (t or "").replace(MARK, " ")  # the vocabulary's own mark for a blank decodes as a blank
+                    # the vocabulary's own mark for a blank decodes as a blank
+                    plain = (t or "").replace(MARK, " ").encode("utf-8", "surrogatepass")
                     for n, (_, log_prob, perturbed, inclusion) in enumerate(row, 1):
-                        same = decoded(listed[cuts[nth]:cuts[nth + 1]], surface) == plain
+                        same = spelt(listed[cuts[nth]:cuts[nth + 1]], surface) == plain
                         nth += 1
                         for column, value in zip(columns, (k, n, log_prob, perturbed, inclusion, same)):
                             column.append(value)
