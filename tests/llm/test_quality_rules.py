@@ -138,3 +138,22 @@ def test_check_sql_has_the_same_rule(spark, own):
     order = [d[0] for d in con.description]
     assert as_rows == sorted(tuple(r[order.index(c)] for c in names) for r in want)
     assert any(r[names.index("removed_words")] for r in as_rows)
+
+
+def test_no_copy_is_lost_in_a_crowd(spark):
+    """Pages that share most of their text all meet; each has one true copy, which none of the others is."""
+    dice = random.Random(11)
+    common = [_word(dice.randrange(676), dice.randrange(676)) for _ in range(900)]
+    rows = []
+    for i in range(150):
+        own = [_word(i, dice.randrange(676), dice.randrange(676), j) for j in range(90)]
+        rows += [(2 * i, " ".join(common + own), "en", "s", 0), (2 * i + 1, " ".join(common + own[:-1] + ["z"]), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = quality_rules.measures(docs).selectExpr("*", "doc_id as rid", "xxhash64(host) as hk").cache()
+    texts = docs.selectExpr("xxhash64(text) as text_hash", "text as t")
+    same = quality_rules.copies(found, texts, 0.95).withColumnRenamed("node", "n")
+    named = found.withColumn("n", quality_rules.document_node()).join(same, "n").select("doc_id", "component").collect()
+    groups = {}
+    for r in named:
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(150)]
