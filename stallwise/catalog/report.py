@@ -83,19 +83,19 @@ def _counted_rows(**names) -> str:
     return " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM ({ENTRIES[n].sql})) AS rows" for t, n in names.items())
 
 
-def _run(run):
-    """The rows that a whole run observed of the tables it wrote."""
+def _run(run, seen):
+    """The rows that a whole run observed of the tables it wrote; ``seen`` finds them in the run's folder."""
     def made(spark, d):
         w = event_world(spark, d)
         out = scratch_path(spark, "run")
         run(spark, {"users": w.users, "items": w.items, "user_behaviors": w.behaviors, "orders": w.orders, "order_items": w.order_items}, out)
-        return portable(spark.read.json(f"{out}/table_records").select("table_name", "rows"))
+        return portable(seen(spark, out).select("table_name", "rows"))
     return made
 
 
 ENTRIES["E20_run_records"] = Entry(
-    lambda spark, d: _run(run_analysis)(spark, d).filter(F.col("table_name").isin(*LARGE)),
+    lambda spark, d: _run(run_analysis, lambda s, out: s.read.json(f"{out}/run_record").selectExpr("inline(tables)"))(spark, d).filter(F.col("table_name").isin(*LARGE)),
     _counted_rows(rfm_users="D23_rfm", lifecycle_users="E01_user_lifecycle", item_lifecycle="E05_item_lifecycle", user_profile="E17_user_profile",
                   item_profile="E18_item_profile", user_segments="E14_segmentation_features", register_trend="D02_register_trend"))
-ENTRIES["F05_run_records"] = Entry(_run(run_features), _counted_rows(
+ENTRIES["F05_run_records"] = Entry(_run(run_features, lambda s, out: s.read.json(f"{out}/table_records")), _counted_rows(
     user_features="F01_user_features", item_features="F02_item_features", user_item_features="F03_user_item_features"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import activity, baskets, catalogue, models, paths, profiles, retention, revenue, value
-from ..sources.tables import run_record, table_records, write_json, write_measured
+from ..sources.tables import run_record, write_json, write_measured
 
 # Results with a row per user or item are tables; the rest are short reports.
 LARGE = {"rfm_users", "lifecycle_users", "item_lifecycle", "user_profile", "item_profile", "user_segments", "register_trend"}
@@ -69,12 +70,12 @@ def analyses(tables: dict[str, DataFrame], top_n: int = 10, n_bins: int = 5) ->
 
 
 def run_analysis(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, top_n: int = 10) -> DataFrame:
-    """Write every result; the run record, and the rows of every result as they were counted on their way to the files."""
+    """Write every result, and the run record, which holds the rows of every result as they were counted on their way to the files."""
     started = time.time()
     results = analyses(tables, top_n)
     measured = {name: write_measured(df, f"{out_dir}/{name}", as_json=name not in LARGE) for name, df in results.items()}
-    write_json(table_records(spark, measured), f"{out_dir}/table_records")
+    tables_seen = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(m["rows"]).cast("long").alias("rows")) for name, m in measured.items()])
     record = run_record(spark, job="analysis", results=len(results), rows=sum(m["rows"] for m in measured.values()), top_n=top_n,
-                        elapsed_seconds=round(time.time() - started, 2))
+                        elapsed_seconds=round(time.time() - started, 2)).withColumn("tables", tables_seen)
     write_json(record, f"{out_dir}/run_record")
     return record
