@@ -22,11 +22,11 @@ SAMPLES = 2
 SEED = 20261
 RANK_SHIFT = 64.0  # a piece of merge rank r weighs 1 / (r + RANK_SHIFT): early merges are frequent pieces
 SHARPNESS = 1.0  # power of that weight
-STEP_CHARS = 1_000_000  # characters whose lattices are searched together
+STEP_CHARS = 120_000  # characters whose lattices are built and searched together: about 80 MB while it lasts
 #: Noise from 53-bit uniforms lies within -3.7 and 36.8: a node's bound is at most its log-mass and this.
 MOST_NOISE = 36.9
 FIRST_PLACES = 256  # places of a path whose bounds say how far along the path others can still be among the best
-CACHE_NODES = 2_000_000  # lattice nodes a task keeps: about 200 MB
+CACHE_NODES = 400_000  # lattice nodes a task keeps: about 40 MB, and as much again while units are added
 
 
 class Vocabulary:

@@ -202,3 +202,29 @@ def test_encode_and_decode_rows(spark):
         if r.doc_id is not None and r.doc_id != 4:
             assert r.text == (texts[r.doc_id] or "").replace("▁", " ")
     assert segmentations.encode(docs.limit(0)).count() == 0
+
+
+def test_a_task_holds_little_however_many_texts_and_words_it_meets(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    caught = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, mapped, schema: caught.append(mapped) or self)
+    segmentations.encode(docs)
+    monkeypatch.undo()
+    draw = random.Random(3)
+
+    def batches():  # a million characters, almost every word a new one
+        for n in range(0, 512, 256):
+            texts = [" ".join("".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(200)) for _ in range(256)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + 256), pa.int64()), pa.array(texts)], names=["k", "text"])
+
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in caught[0](batches())) == 512 * segmentations.SAMPLES
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 160e6
