@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stallwise.operators.models import CLUSTER_FEATURES, assign_clusters, fit_models, name_clusters, risk_level, score
@@ -9,6 +10,7 @@ from stallwise.operators.features import USER_FEATURES
 from stallwise.operators.paths import session_starts
 from stallwise.plans.prediction import load_model, save_models
 from stallwise.settings import ModelSettings
+from stallwise.sources.tables import write_measured
 from stallwise.sources.worlds import event_columns
 from stallwise.streaming import indicators as S
 
@@ -73,6 +75,17 @@ def test_models_learn_save_and_load(spark, tmp_path):
     assert [r[0] for r in levels.collect()] == ["low", "medium", "medium", "high"]
 
 
+@pytest.mark.parametrize("classes", [1, 2])
+def test_models_score_after_an_observed_write(spark, tmp_path, classes):
+    """What the session keeps for observations must not travel to the tasks with a model."""
+    path = str(tmp_path / "panel")
+    assert write_measured(_panel(spark).withColumn("label", F.col("label") % classes), path)["rows"] == 400
+    panel = spark.read.parquet(path)
+    for name, model in fit_models(panel, ModelSettings(trees=5, max_depth=3, max_iter=20)).items():
+        scored = score(model, panel).groupBy("label").agg(F.count_if(F.col("probability").between(0, 1)).alias("n"))
+        assert {r["label"]: r["n"] for r in scored.collect()} == ({0: 400} if classes == 1 else {0: 200, 1: 200}), name
+
+
 def test_clusters_are_numbered_by_size(spark):
     rows = [(i, *([float(1 if i < 30 else 100)] * len(CLUSTER_FEATURES))) for i in range(40)]
     df = spark.createDataFrame(rows, "user_id long, " + ", ".join(f"{c} double" for c in CLUSTER_FEATURES))
