@@ -26,7 +26,9 @@ STEP_CHARS = 120_000  # characters whose lattices are built and searched togethe
 #: Noise from 53-bit uniforms lies within -3.7 and 36.8: a node's bound is at most its log-mass and this.
 MOST_NOISE = 36.9
 FIRST_PLACES = 256  # places of a path whose bounds say how far along the path others can still be among the best
-CACHE_NODES = 400_000  # lattice nodes a task keeps: about 40 MB, and as much again while units are added
+CACHE_NODES = 1_000_000  # lattice nodes a task keeps: about 100 MB if all were of words that come back
+SEEN_MARKS = 1 << 22  # one byte each: which units a task has met, by their hash
+JOINED_IDS = 65_536  # piece ids that are spelt at once
 
 
 class Vocabulary:
@@ -67,34 +69,84 @@ class Vocabulary:
                     weight.append(0.0)
                 state = children[step]
             piece[state], weight[state] = i, -SHARPNESS * math.log(-sp.get_score(i) + RANK_SHIFT)
-        steps = sorted((s << 21 | c, t) for (s, c), t in children.items())
-        self.step_key = np.array([k for k, _ in steps], np.int64)
-        self.step_to = np.array([t for _, t in steps], np.int32)
+        keys = np.array([s << 21 | c for s, c in children], np.int64)
+        to = np.array(list(children.values()), np.int32)
+        self.bits = max(4, (2 * len(keys)).bit_length())  # a table of the trie's steps, at most half full
+        self.step_key, self.step_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot = self.slots(keys)
+        while len(keys):
+            free = self.step_key[slot] < 0
+            self.step_key[slot[free]], self.step_to[slot[free]] = keys[free], to[free]
+            rest = self.step_key[slot] != keys
+            keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.piece, self.weight = np.array(piece, np.int32), np.array(weight)
         self.root = np.full(0x110000, -1, np.int32)
         for (s, c), t in children.items():
             if s == 0:
                 self.root[c] = t
+        self.size = np.array([len(x) for x in self.surface], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+
+    def slots(self, keys):
+        import numpy as np
+
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, keys):
+        """Which of the steps (state, code point) the trie has, and the states they lead to."""
+        import numpy as np
+
+        slot = self.slots(keys)
+        seen = self.step_key[slot]
+        more = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(more):
+            slot[more] = at = (slot[more] + 1) & ((1 << self.bits) - 1)
+            seen = self.step_key[at]
+            more = more[(seen != keys[more]) & (seen >= 0)]
+        hit = np.flatnonzero(self.step_key[slot] == keys)
+        return hit, self.step_to[slot[hit]]
+
+    def joined(self, ids):
+        """The bytes of all ids, one after the other, and where each id's begin; in the end where the last one's end."""
+        import numpy as np
+
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        parts = []
+        for low in range(0, len(ids), JOINED_IDS):
+            some = ids[low:low + JOINED_IDS]
+            number = self.size[some]
+            shift = self.begin[some] - (np.cumsum(number) - number)
+            parts.append(self.bytes[np.repeat(shift, number) + np.arange(int(number.sum()))].tobytes())
+        return b"".join(parts), ends
 
 
 def mixed_bits(x):
-    """Well-mixed 64-bit numbers from 64-bit counters."""
+    """Well-mixed 64-bit numbers from an array of 64-bit counters."""
     import numpy as np
 
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniforms(key, stream: int, place, step: int):
     """Uniforms in (0, 1), a function of the row's key, the stream, the place in the row and the step only."""
     import numpy as np
 
-    with np.errstate(over="ignore"):
-        x = (key + np.uint64((stream * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-             + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64((step * 0x8CB92BA72F3D8DD7) & ((1 << 64) - 1)))
-    return ((mixed_bits(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    x = place.astype(np.uint64)
+    x *= np.uint64(0xD1B54A32D192ED03)
+    x += np.uint64((stream * 0x9E3779B97F4A7C15 + step * 0x8CB92BA72F3D8DD7) & ((1 << 64) - 1))
+    x += key
+    x = mixed_bits(x)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0 ** -53
+    return out
 
 
 class Lattices:
@@ -111,13 +163,15 @@ class Lattices:
         self.v = vocabulary
         apart = "" if "\n" in vocabulary.inner else "\n"
         self.split = re.compile((f"{apart}|" if apart else "") + f"{MARK}*[^{MARK}{apart}]+|{MARK}+").findall
+        self.seen = bytearray(SEEN_MARKS)
+        self.passing: list[str] = []  # units whose lattices lie behind the kept ones
         self.reset()
 
     def reset(self) -> None:
         import numpy as np
 
         self.start: dict[str, int] = {}
-        self.nodes = 0
+        self.nodes, self.edges, self.kept = 0, 0, (0, 0)
         self.first = np.zeros(1, np.int64)
         self.to = np.zeros(0, np.int64)
         self.piece = np.zeros(0, np.int32)
@@ -126,6 +180,45 @@ class Lattices:
         self.upto = np.zeros(0)
         self.last = np.zeros(0, bool)
 
+    def prepare(self, units: list[str]):
+        """The first nodes of the units' lattices.
+
+        Most distinct units never come back.  A unit's lattice stays from the second step on that needs it; others are dropped
+        by the next call.
+        """
+        import numpy as np
+
+        for u in self.passing:
+            del self.start[u]
+        if self.nodes > 2 * CACHE_NODES or self.kept[0] > CACHE_NODES:
+            self.reset()
+        self.passing = []
+        self.nodes, self.edges = self.kept
+        again = []
+        for u in set(units).difference(self.start):
+            mark = hash(u) & (SEEN_MARKS - 1)
+            (again if self.seen[mark] else self.passing).append(u)
+            self.seen[mark] = 1
+        if again:
+            self.add(again)
+            self.kept = self.nodes, self.edges
+        if self.passing:
+            self.add(self.passing)
+        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+
+    def room(self, nodes: int, edges: int) -> None:
+        """Arrays for so many nodes and edges.  They grow by half at least, so little is copied."""
+        import numpy as np
+
+        for names, size, used in ((("to", "piece", "point", "log", "upto"), edges, self.edges), (("last",), nodes, self.nodes),
+                                  (("first",), nodes + 1, self.nodes + 1)):
+            for name in names:
+                old = getattr(self, name)
+                if len(old) < size:
+                    new = np.empty(max(size, len(old) * 3 // 2), old.dtype)
+                    new[:used] = old[:used]
+                    setattr(self, name, new)
+
     def add(self, units: list[str]) -> None:
         """Build the lattices of new units: edges by walking the trie from all places at once, masses backwards.
 
@@ -145,23 +238,24 @@ class Lattices:
         distance = np.repeat(np.arange(longest + 1), some)
         rank = np.arange(size) - np.repeat(offset[:-1], some)
         text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        place = ends[rank] - distance  # in the text
         point = np.full(size, -1, np.int32)
-        point[some[0]:] = text[(ends[rank] - distance)[some[0]:]]
+        point[some[0]:] = text[place[some[0]:]]
         alive = np.arange(some[0], size)
         state = v.root[point[alive]]
-        alive, state = alive[state >= 0], state[state >= 0]
+        alive = alive[state >= 0]
+        state = state[state >= 0]
         found = []
         for n in range(1, v.longest + 1):
-            hit = v.piece[state] >= 0
-            found.append((alive[hit], v.piece[state[hit]], v.weight[state[hit]]))
-            go = distance[alive] > n
+            which = v.piece[state]
+            hit = np.flatnonzero(which >= 0)
+            found.append((alive[hit], which[hit], v.weight[state[hit]]))
+            go = np.flatnonzero(distance[alive] > n)
             alive, state = alive[go], state[go]
             if not len(alive):
                 break
-            key = (state.astype(np.int64) << 21) | point[offset[distance[alive] - n] + rank[alive]]
-            slot = np.minimum(np.searchsorted(v.step_key, key), len(v.step_key) - 1)
-            hit = v.step_key[slot] == key
-            alive, state = alive[hit], v.step_to[slot[hit]]
+            hit, state = v.step((state.astype(np.int64) << 21) | text[place[alive] + n])
+            alive = alive[hit]
         bare = np.ones(size, bool)
         bare[:some[0]] = False
         bare[found[0][0]] = False
@@ -195,18 +289,16 @@ class Lattices:
             log[begin:end] = value - np.repeat(np.log(total), counts)
         log = np.minimum(log, 0.0)
         run = np.cumsum(chance)
-        owner = np.repeat(np.arange(size), number)
-        upto = run - np.concatenate([[0.0], run])[first[owner]]
+        upto = run - np.repeat(np.concatenate([[0.0], run])[first[:-1]], number)
         upto[first[1:][number > 0] - 1] = 2.0  # whatever is left of the interval
-        self.first = np.concatenate([self.first[:-1], first + len(self.to)])
-        self.to = np.concatenate([self.to, to + self.nodes])
-        self.piece = np.concatenate([self.piece, piece])
-        self.point = np.concatenate([self.point, point[owner]])
-        self.log = np.concatenate([self.log, log])
-        self.upto = np.concatenate([self.upto, upto])
-        self.last = np.concatenate([self.last, distance == 0])
+        self.room(self.nodes + size, self.edges + edges)
+        here, there = slice(self.nodes, self.nodes + size), slice(self.edges, self.edges + edges)
+        self.first[self.nodes:self.nodes + size + 1] = first + self.edges
+        self.last[here] = distance == 0
+        self.to[there] = to + self.nodes
+        self.piece[there], self.point[there], self.log[there], self.upto[there] = piece, np.repeat(point, number), log, upto
         self.start.update(zip(units, (offset[lengths] + np.arange(len(units)) + self.nodes).tolist()))
-        self.nodes += size
+        self.nodes, self.edges = self.nodes + size, self.edges + edges
 
     def units(self, text: str) -> list[str]:
         return self.split(MARK + text.replace(" ", MARK)) if text else []
@@ -266,15 +358,10 @@ class Sampler:
         import numpy as np
 
         lat = self.lattices
-        if lat.nodes > CACHE_NODES:
-            lat.reset()
         rows = [lat.units(t or "") for t in texts]
         flat = [u for r in rows for u in r]
-        new = set(flat).difference(lat.start)
-        if new:
-            lat.add(list(new))
         size = np.array([len(r) for r in rows], np.int64)
-        start = np.fromiter(map(lat.start.__getitem__, flat), np.int64, len(flat))
+        start = lat.prepare(flat)
         begin = np.cumsum(size) - size
         with np.errstate(over="ignore"):
             seeds = mixed_bits(np.array([(0 if k is None else k) & ((1 << 64) - 1) for k in keys], np.uint64)
@@ -425,7 +512,6 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, se
         import pyarrow as pa
 
         sampler = Sampler(path, samples, seed)
-        surface = sampler.lattices.v.surface
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -437,14 +523,16 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, se
                 found = sampler.sample(keys[at:end], texts[at:end])
                 flat, number = sampler.ids_of([edges for row in found for edges, *_ in row])
                 offsets = np.concatenate([[0], np.cumsum(number)])
-                listed, cuts = flat.tolist(), offsets.tolist()
+                raw, places = sampler.lattices.v.joined(flat)
+                cuts = places[offsets].tolist()
                 columns: list[list] = [[] for _ in range(6)]
                 nth = 0
                 for k, t, row in zip(keys[at:end], texts[at:end], found):
                     # the vocabulary's own mark for a blank decodes as a blank
                     plain = (t or "").replace(MARK, " ").encode("utf-8", "surrogatepass")
                     for n, (_, log_prob, perturbed, inclusion) in enumerate(row, 1):
-                        same = spelt(listed[cuts[nth]:cuts[nth + 1]], surface) == plain
+                        # without the one blank that encoding puts in front
+                        same = raw[cuts[nth] + raw.startswith(b" ", cuts[nth], cuts[nth + 1]):cuts[nth + 1]] == plain
                         nth += 1
                         for column, value in zip(columns, (k, n, log_prob, perturbed, inclusion, same)):
                             column.append(value)

@@ -228,3 +228,17 @@ def test_a_task_holds_little_however_many_texts_and_words_it_meets(spark, monkey
     finally:
         tracemalloc.stop()
     assert most < 160e6
+
+
+def test_only_lattices_of_words_that_come_back_are_kept():
+    sampler = segmentations.Sampler(default_model(), 2)
+    draw = random.Random(5)
+    steps = [[" ".join(["shared", "words", *("".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(300))]) for _ in range(4)] for _ in range(3)]
+    apart = [segmentations.Sampler(default_model(), 2).sample(list(range(4)), texts) for texts in steps]
+    for texts, want in zip(steps, apart):
+        found = sampler.sample(list(range(4)), texts)
+        assert [[x[1:] for x in row] for row in found] == [[x[1:] for x in row] for row in want]
+        raw, places = sampler.lattices.v.joined(sampler.ids_of([row[0][0] for row in found])[0])
+        assert raw.decode() == "".join(" " + t for t in texts) and places[-1] == len(raw)
+    # of some 3,600 words of three steps, those of the last one and the two that came back
+    assert len(sampler.lattices.start) < 1300 and sampler.lattices.kept[0] == len("\u2581shared") + len("\u2581words") + 2
