@@ -42,15 +42,15 @@ class Vocabulary:
         total = sp.get_piece_size()
         self.surface = [b""] * total
         self.byte_id = np.zeros(256, np.int32)
-        worst = max((-sp.get_score(i) for i in range(total) if not (sp.is_control(i) or sp.is_unknown(i))), default=0.0)
+        used = [i for i in range(total) if not (sp.is_control(i) or sp.is_unknown(i))]
+        scores = {i: -sp.get_score(i) for i in used}
+        worst = max(scores.values(), default=0.0)
         self.byte_weight = -SHARPNESS * math.log(worst + RANK_SHIFT)
-        children: dict[tuple[int, int], int] = {}
+        children: dict[int, int] = {}  # by state << 21 | code point
         piece, weight, self.longest, self.inner = [-1], [0.0], 1, set()
-        for i in range(total):
-            if sp.is_control(i) or sp.is_unknown(i):
-                continue
+        for i in used:
             p = sp.id_to_piece(i)
-            if sp.is_byte(i):
+            if p.startswith("<0x") and sp.is_byte(i):
                 value = int(p[3:5], 16)
                 self.byte_id[value], self.surface[i] = i, bytes([value])
                 continue
@@ -61,15 +61,15 @@ class Vocabulary:
                 raise ValueError("a blank inside a piece: units of this vocabulary are not separate")
             self.longest = max(self.longest, len(p))
             state = 0
-            for ch in p:
-                step = (state, ord(ch))
-                if step not in children:
-                    children[step] = len(piece)
+            for c in map(ord, p):
+                step = state << 21 | c
+                state = children.get(step)
+                if state is None:
+                    state = children[step] = len(piece)
                     piece.append(-1)
                     weight.append(0.0)
-                state = children[step]
-            piece[state], weight[state] = i, -SHARPNESS * math.log(-sp.get_score(i) + RANK_SHIFT)
-        keys = np.array([s << 21 | c for s, c in children], np.int64)
+            piece[state], weight[state] = i, -SHARPNESS * math.log(scores[i] + RANK_SHIFT)
+        keys = np.array(list(children), np.int64)
         to = np.array(list(children.values()), np.int32)
         self.bits = max(4, (2 * len(keys)).bit_length())  # a table of the trie's steps, at most half full
         self.step_key, self.step_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
@@ -81,8 +81,8 @@ class Vocabulary:
             keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.piece, self.weight = np.array(piece, np.int32), np.array(weight)
         self.root = np.full(0x110000, -1, np.int32)
-        for (s, c), t in children.items():
-            if s == 0:
+        for c, t in children.items():
+            if c < 1 << 21:
                 self.root[c] = t
         self.size = np.array([len(x) for x in self.surface], np.int64)
         self.begin = np.cumsum(self.size) - self.size
