@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import compress
 from operator import itemgetter
 
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ STEP_CHARS = 120_000  # characters whose lattices are built and searched togethe
 #: Noise from 53-bit uniforms lies within -3.7 and 36.8: a node's bound is at most its log-mass and this.
 MOST_NOISE = 36.9
 FIRST_PLACES = 256  # places of a path whose bounds say how far along the path others can still be among the best
-CACHE_NODES = 1_000_000  # lattice nodes a task keeps: about 100 MB if all were of words that come back
+CACHE_NODES = 1_500_000  # lattice nodes a task keeps: about 120 MB if all were of words that come back
 SEEN_MARKS = 1 << 22  # one byte each: which units a task has met, by their hash
 JOINED_IDS = 65_536  # piece ids that are spelt at once
 
@@ -80,6 +81,8 @@ class Vocabulary:
             rest = self.step_key[slot] != keys
             keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.piece, self.weight = np.array(piece, np.int32), np.array(weight)
+        self.goes_on = np.zeros(len(piece), bool)  # states that some step leaves
+        self.goes_on[np.array(list(children), np.int64) >> 21] = True
         self.root = np.full(0x110000, -1, np.int32)
         for c, t in children.items():
             if c < 1 << 21:
@@ -102,22 +105,22 @@ class Vocabulary:
         more = np.flatnonzero((seen != keys) & (seen >= 0))
         while len(more):
             slot[more] = at = (slot[more] + 1) & ((1 << self.bits) - 1)
-            seen = self.step_key[at]
-            more = more[(seen != keys[more]) & (seen >= 0)]
-        hit = np.flatnonzero(self.step_key[slot] == keys)
+            seen[more] = got = self.step_key[at]
+            more = more[(got != keys[more]) & (got >= 0)]
+        hit = np.flatnonzero(seen == keys)
         return hit, self.step_to[slot[hit]]
 
     def joined(self, ids):
         """The bytes of all ids, one after the other, and where each id's begin; in the end where the last one's end."""
         import numpy as np
 
-        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
         parts = []
         for low in range(0, len(ids), JOINED_IDS):
-            some = ids[low:low + JOINED_IDS]
-            number = self.size[some]
-            shift = self.begin[some] - (np.cumsum(number) - number)
-            parts.append(self.bytes[np.repeat(shift, number) + np.arange(int(number.sum()))].tobytes())
+            high = min(low + JOINED_IDS, len(ids))
+            shift = self.begin[ids[low:high]] - ends[low:high]
+            parts.append(self.bytes[np.repeat(shift, size[low:high]) + np.arange(int(ends[low]), int(ends[high]))].tobytes())
         return b"".join(parts), ends
 
 
@@ -133,15 +136,22 @@ def mixed_bits(x):
     return x
 
 
-def uniforms(key, stream: int, place, step: int):
-    """Uniforms in (0, 1), a function of the row's key, the stream, the place in the row and the step only."""
+def counters(key, stream: int, place):
+    """What the uniforms of all steps have in common: the row's key, the stream and the place in the row."""
     import numpy as np
 
     x = place.astype(np.uint64)
     x *= np.uint64(0xD1B54A32D192ED03)
-    x += np.uint64((stream * 0x9E3779B97F4A7C15 + step * 0x8CB92BA72F3D8DD7) & ((1 << 64) - 1))
+    x += np.uint64((stream * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
     x += key
-    x = mixed_bits(x)
+    return x
+
+
+def uniforms(counter, step: int = 0):
+    """Uniforms in (0, 1), a function of the counters and the step only."""
+    import numpy as np
+
+    x = mixed_bits(counter + np.uint64((step * 0x8CB92BA72F3D8DD7) & ((1 << 64) - 1)))
     x >>= np.uint64(11)
     out = x.astype(np.float64)
     out += 0.5
@@ -153,18 +163,20 @@ class Lattices:
     """Lattices of text units, built once per distinct unit.
 
     A unit is a run of blanks with what follows it, or a line end; no piece crosses its border, so a text's lattice is the
-    chain of its units' lattices.  ``first[n] .. first[n + 1]`` are the edges that leave node n: ``piece`` (-1: the bytes of
-    ``point``), the node they reach and the log-probability of taking them there, ``upto`` their running probability.
+    chain of its units' lattices.  ``first[n] .. first[n + 1]`` are the edges that leave node n: ``piece`` (below 0: the bytes of
+    the code point -1 - ``piece``), the node they reach and the log-probability of taking them there, ``upto`` their running
+    probability.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         import re
 
+        import numpy as np
+
         self.v = vocabulary
         apart = "" if "\n" in vocabulary.inner else "\n"
-        self.split = re.compile((f"{apart}|" if apart else "") + f"{MARK}*[^{MARK}{apart}]+|{MARK}+").findall
-        self.seen = bytearray(SEEN_MARKS)
-        self.passing: list[str] = []  # units whose lattices lie behind the kept ones
+        self.split = re.compile(f" *[^ {apart}]+| +" + (f"|{apart}" if apart else "")).findall
+        self.seen = np.zeros(SEEN_MARKS, bool)
         self.reset()
 
     def reset(self) -> None:
@@ -175,7 +187,6 @@ class Lattices:
         self.first = np.zeros(1, np.int64)
         self.to = np.zeros(0, np.int64)
         self.piece = np.zeros(0, np.int32)
-        self.point = np.zeros(0, np.int32)
         self.log = np.zeros(0)
         self.upto = np.zeros(0)
         self.last = np.zeros(0, bool)
@@ -188,29 +199,30 @@ class Lattices:
         """
         import numpy as np
 
-        for u in self.passing:
-            del self.start[u]
         if self.nodes > 2 * CACHE_NODES or self.kept[0] > CACHE_NODES:
             self.reset()
-        self.passing = []
         self.nodes, self.edges = self.kept
-        again = []
-        for u in set(units).difference(self.start):
-            mark = hash(u) & (SEEN_MARKS - 1)
-            (again if self.seen[mark] else self.passing).append(u)
-            self.seen[mark] = 1
+        own = dict.fromkeys(units)
+        start = dict(zip(own, map(self.start.get, own)))  # of this call's units only: small beside all that is kept
+        new = [u for u, node in start.items() if node is None]
+        marks = np.fromiter(map(hash, new), np.int64, len(new)) & (SEEN_MARKS - 1)
+        before = self.seen[marks]
+        self.seen[marks] = True
+        again, passing = list(compress(new, before.tolist())), list(compress(new, (~before).tolist()))
         if again:
-            self.add(again)
+            found = self.add(again)
+            self.start.update(found)
+            start.update(found)
             self.kept = self.nodes, self.edges
-        if self.passing:
-            self.add(self.passing)
-        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+        if passing:
+            start.update(self.add(passing))
+        return np.fromiter(map(start.__getitem__, units), np.int64, len(units))
 
     def room(self, nodes: int, edges: int) -> None:
         """Arrays for so many nodes and edges.  They grow by half at least, so little is copied."""
         import numpy as np
 
-        for names, size, used in ((("to", "piece", "point", "log", "upto"), edges, self.edges), (("last",), nodes, self.nodes),
+        for names, size, used in ((("to", "piece", "log", "upto"), edges, self.edges), (("last",), nodes, self.nodes),
                                   (("first",), nodes + 1, self.nodes + 1)):
             for name in names:
                 old = getattr(self, name)
@@ -219,9 +231,11 @@ class Lattices:
                     new[:used] = old[:used]
                     setattr(self, name, new)
 
-    def add(self, units: list[str]) -> None:
+    def add(self, units: list[str]) -> list[tuple[str, int]]:
         """Build the lattices of new units: edges by walking the trie from all places at once, masses backwards.
 
+        Returns the units with their first nodes.
+
         Nodes are numbered by their distance from the unit's end, and by unit inside a distance: the masses of one distance
         need those of smaller ones only, and are a few operations on a stretch of all edges.
         """
@@ -237,7 +251,7 @@ class Lattices:
         size = int(offset[-1])
         distance = np.repeat(np.arange(longest + 1), some)
         rank = np.arange(size) - np.repeat(offset[:-1], some)
-        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        text = np.frombuffer("".join(units).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         place = ends[rank] - distance  # in the text
         point = np.full(size, -1, np.int32)
         point[some[0]:] = text[place[some[0]:]]
@@ -250,11 +264,11 @@ class Lattices:
             which = v.piece[state]
             hit = np.flatnonzero(which >= 0)
             found.append((alive[hit], which[hit], v.weight[state[hit]]))
-            go = np.flatnonzero(distance[alive] > n)
-            alive, state = alive[go], state[go]
-            if not len(alive):
+            go = np.flatnonzero(v.goes_on[state] & (distance[alive] > n))
+            if not len(go):
                 break
-            hit, state = v.step((state.astype(np.int64) << 21) | text[place[alive] + n])
+            alive = alive[go]
+            hit, state = v.step((state[go].astype(np.int64) << 21) | text[place[alive] + n])
             alive = alive[hit]
         bare = np.ones(size, bool)
         bare[:some[0]] = False
@@ -272,9 +286,9 @@ class Lattices:
             spot[node] += 1
         p = point[bare]
         at = spot[bare]
-        to[at], piece[at] = offset[distance[bare] - 1] + rank[bare], -1
+        to[at], piece[at] = offset[distance[bare] - 1] + rank[bare], -1 - p
         log[at] = v.byte_weight * (1 + (p > 0x7F).astype(np.int64) + (p > 0x7FF) + (p > 0xFFFF))
-        mass, chance = np.zeros(size), np.empty(edges)
+        mass, chance, totals = np.zeros(size), np.empty(edges), np.ones(size)
         for d in range(1, longest + 1):
             low, high = int(offset[d]), int(offset[d + 1])
             begin, end = int(first[low]), int(first[high])
@@ -282,11 +296,12 @@ class Lattices:
             value = log[begin:end] + mass[to[begin:end]]
             top = np.maximum.reduceat(value, starts)
             value -= np.repeat(top, counts)
-            share = np.exp(value)
-            total = np.add.reduceat(share, starts)
+            log[begin:end] = value
+            share = np.exp(value, out=chance[begin:end])
+            totals[low:high] = total = np.add.reduceat(share, starts)
             mass[low:high] = top + np.log(total)
-            chance[begin:end] = share / np.repeat(total, counts)
-            log[begin:end] = value - np.repeat(np.log(total), counts)
+        chance /= np.repeat(totals, number)
+        log -= np.repeat(np.log(totals), number)
         log = np.minimum(log, 0.0)
         run = np.cumsum(chance)
         upto = run - np.repeat(np.concatenate([[0.0], run])[first[:-1]], number)
@@ -296,12 +311,13 @@ class Lattices:
         self.first[self.nodes:self.nodes + size + 1] = first + self.edges
         self.last[here] = distance == 0
         self.to[there] = to + self.nodes
-        self.piece[there], self.point[there], self.log[there], self.upto[there] = piece, np.repeat(point, number), log, upto
-        self.start.update(zip(units, (offset[lengths] + np.arange(len(units)) + self.nodes).tolist()))
+        self.piece[there], self.log[there], self.upto[there] = piece, log, upto
+        begin = offset[lengths] + np.arange(len(units)) + self.nodes
         self.nodes, self.edges = self.nodes + size, self.edges + edges
+        return list(zip(units, begin.tolist()))
 
     def units(self, text: str) -> list[str]:
-        return self.split(MARK + text.replace(" ", MARK)) if text else []
+        return self.split(" " + text.replace(MARK, " ")) if text else []
 
     def walk(self, node, key, place, stream: int):
         """Sample a way to the end of each unit from ``node`` on.  Returns edges and their units' indices, in order."""
@@ -309,11 +325,11 @@ class Lattices:
 
         all_edges, all_units, step = [], [], 0
         live = np.arange(len(node))
-        node = node.copy()
         live = live[~self.last[node]]
         cur = node[live]
+        counter = counters(key, stream, place)
         while len(live):
-            u = uniforms(key[live], stream, place[live], step)
+            u = uniforms(counter[live], step)
             e = self.first[cur]
             over = np.flatnonzero(self.upto[e] < u)
             while len(over):
@@ -329,7 +345,7 @@ class Lattices:
         unit = np.concatenate(all_units)
         number = np.bincount(unit, minlength=len(node))
         begin = np.cumsum(number) - number
-        place_of = begin[unit] + np.concatenate([np.full(len(x), i) for i, x in enumerate(all_units)])
+        place_of = begin[unit] + np.repeat(np.arange(len(all_units)), [len(x) for x in all_units])
         edges = np.empty(len(unit), np.int64)
         edges[place_of] = np.concatenate(all_edges)
         return edges, number
@@ -370,7 +386,7 @@ class Sampler:
         heaps: list[list] = [[] for _ in rows]
         serial = 0
         # the first segmentation: no prefix, no exclusion, all units
-        top = -np.log(-np.log(uniforms(seeds, 1, np.zeros(len(rows)), 0)))
+        top = -np.log(-np.log(uniforms(counters(seeds, 1, np.zeros(len(rows))))))
         edges, number = lat.walk(start, np.repeat(seeds, size), _runs(size), 2)
         ends = np.concatenate([[0], np.cumsum(number)])
         cut = ends[np.concatenate([begin, [len(start)]])] if len(rows) else ends
@@ -379,53 +395,35 @@ class Sampler:
         fixed = [0] * len(rows)
         bounds, turn = list(top), list(range(len(rows)))
         for nth in range(1, self.samples + 1):
-            for i, path, held, bound, frozen in zip(turn, paths, tokens, bounds, fixed):
-                step_log = lat.log[path]
-                before = np.cumsum(step_log) - step_log
-                total = float(before[-1] + step_log[-1]) if len(path) else 0.0
-                out[i].append((path, total, float(bound)))
-                best, frozen_upto, least = [], frozen, -math.inf
-                while frozen_upto < len(path):
-                    # the places from here on hold a mass of at most before[...]; below the last of the best they cannot come in
-                    end = min(frozen_upto + FIRST_PLACES, len(path)) if least == -math.inf else int(
-                        np.searchsorted(-before, MOST_NOISE - least, "right"))
-                    if end <= frozen_upto:
-                        break
-                    part = slice(frozen_upto, end)
-                    rest = before[part] + np.log(-np.expm1(np.minimum(step_log[part], -1e-300)))
-                    noise = uniforms(seeds[i:i + 1], 100 + nth, np.arange(frozen_upto, end), 0)
-                    reach = -np.log(np.exp(-bound) - np.log(noise) * np.exp(-np.maximum(rest, -700.0)))
-                    reach[step_log[part] > -1e-15] = -np.inf
-                    top_few = np.argpartition(-reach, self.samples)[:self.samples] if len(reach) > self.samples else range(len(reach))
-                    best += [(-float(reach[j]), frozen_upto + int(j)) for j in top_few if reach[j] > -np.inf]
-                    best = sorted(best)[:self.samples]
-                    least = -best[-1][0] if len(best) == self.samples else -math.inf
-                    frozen_upto = end
-                for minus_reach, at in best:
+            logs = [lat.log[path] for path in paths]
+            befores = [np.cumsum(x) - x for x in logs]
+            best = self.next_nodes(seeds[turn], logs, befores, np.array(bounds), fixed, nth)
+            for i, path, held, bound, step_log, before, few in zip(turn, paths, tokens, bounds, logs, befores, best):
+                out[i].append((path, float(before[-1] + step_log[-1]) if len(path) else 0.0, float(bound)))
+                for minus_reach, at in few:
                     serial += 1
                     heapq.heappush(heaps[i], (minus_reach, serial, path, held, at, (int(path[at]),), float(before[at])))
             if nth == self.samples:
                 break
-            turn, bounds, heads, nodes, keys_of, places, counts = [], [], [], [], [], [], []
-            for i, heap in enumerate(heaps):
-                if not heap:
-                    continue
-                reach, _, path, held, at, barred, before = heapq.heappop(heap)
+            bounds, heads, nodes, keys_of, places, counts = [], [], [], [], [], []
+            turn = [i for i, heap in enumerate(heaps) if heap]
+            popped = [heapq.heappop(heaps[i]) for i in turn]
+            leaves = np.array([x[4] for x in popped], np.int64)
+            choices = uniforms(counters(seeds[turn], 200 + nth, leaves)).tolist()
+            noises = uniforms(counters(seeds[turn], 300 + nth, leaves)).tolist()
+            for i, (reach, _, path, held, at, barred, before), u, noise in zip(turn, popped, choices, noises):
                 upto = np.cumsum(held)
                 u_at = int(np.searchsorted(upto, at, "right"))
                 opening = int(upto[u_at - 1]) if u_at else 0  # where that unit's pieces begin
                 node = int(lat.to[path[at - 1]]) if at > opening else int(start[begin[i] + u_at])
                 choice = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in barred]
                 chance = np.exp(lat.log[choice])
-                u = float(uniforms(seeds[i:i + 1], 200 + nth, np.array([at]), 0)[0]) * chance.sum()
-                pick = int(min(np.searchsorted(np.cumsum(chance), u), len(choice) - 1))
+                pick = int(min(np.searchsorted(np.cumsum(chance), u * chance.sum()), len(choice) - 1))
                 others = chance.sum() - chance[pick]
                 if len(choice) > 1 and others > 0:
                     serial += 1
-                    noise = float(uniforms(seeds[i:i + 1], 300 + nth, np.array([at]), 0)[0])
                     again = -math.log(math.exp(reach) - math.log(noise) / math.exp(max(before + math.log(others), -700.0)))
-                    heapq.heappush(heap, (-again, serial, path, held, at, (*barred, choice[pick]), before))
-                turn.append(i)
+                    heapq.heappush(heaps[i], (-again, serial, path, held, at, (*barred, choice[pick]), before))
                 bounds.append(-reach)
                 heads.append((np.append(path[:at], choice[pick]), held[:u_at], at - opening + 1))
                 nodes.append(np.concatenate([[lat.to[choice[pick]]], start[begin[i] + u_at + 1:begin[i] + size[i]]]))
@@ -449,6 +447,40 @@ class Sampler:
                          for p, lp, g in found])
         return done
 
+    def next_nodes(self, seeds, logs: list, befores: list, bounds, fixed: list[int], nth: int) -> list[list[tuple]]:
+        """For each path the best nodes beside it, at most ``samples``: (-bound, place where the node leaves the path).
+
+        ``logs`` are the log-probabilities of the path's edges, ``befores`` their sums up to each edge, ``bounds`` the path's
+        own bounds.  The places of all paths are drawn together.
+        """
+        import numpy as np
+
+        best: list[list[tuple]] = [[] for _ in logs]
+        least, done, turn = [-math.inf] * len(logs), list(fixed), list(range(len(logs)))
+        while True:
+            # the places from an end on hold a mass of at most before[...]; below the last of the best they cannot come in
+            ends = {j: min(done[j] + FIRST_PLACES, len(logs[j])) if least[j] == -math.inf else int(
+                np.searchsorted(-befores[j], MOST_NOISE - least[j], "right")) for j in turn}
+            turn = [j for j in turn if ends[j] > done[j]]
+            if not turn:
+                return best
+            number = np.array([ends[j] - done[j] for j in turn])
+            cut = np.cumsum(number).tolist()
+            place = _runs(number) + np.repeat([done[j] for j in turn], number)
+            step_log = np.concatenate([logs[j][done[j]:ends[j]] for j in turn])
+            rest = np.concatenate([befores[j][done[j]:ends[j]] for j in turn])
+            rest += np.log(-np.expm1(np.minimum(step_log, -1e-300)))
+            noise = uniforms(counters(np.repeat(seeds[turn], number), 100 + nth, place))
+            reach = np.log(np.repeat(np.exp(-bounds[turn]), number) - np.log(noise) * np.exp(-np.maximum(rest, -700.0)))
+            reach[step_log > -1e-15] = np.inf
+            for j, begin, end in zip(turn, [0, *cut], cut):
+                part = reach[begin:end]
+                few = np.argpartition(part, self.samples)[:self.samples] if end - begin > self.samples else np.arange(end - begin)
+                best[j] += [(r, done[j] + at) for r, at in zip(part[few].tolist(), few.tolist()) if r < math.inf]
+                best[j] = sorted(best[j])[:self.samples]
+                least[j] = -best[j][-1][0] if len(best[j]) == self.samples else -math.inf
+                done[j] = ends[j]
+
     def ids(self, path):
         """Piece ids of a path of edges."""
         return self.ids_of([path])[0]
@@ -464,7 +496,7 @@ class Sampler:
         edges = np.concatenate(paths) if paths else np.zeros(0, np.int64)
         piece = self.lattices.piece[edges]
         bare = np.flatnonzero(piece < 0)
-        point = self.lattices.point[edges[bare]]
+        point = -1 - piece[bare]
         wide = np.flatnonzero(point > 0x7F)
         piece[bare] = self.lattices.v.byte_id[np.minimum(point, 0x7F)]
         if not len(wide):

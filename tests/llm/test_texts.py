@@ -242,3 +242,30 @@ def test_only_lattices_of_words_that_come_back_are_kept():
         assert raw.decode() == "".join(" " + t for t in texts) and places[-1] == len(raw)
     # of some 3,600 words of three steps, those of the last one, the two that came back and a few that share a mark with another
     assert len(sampler.lattices.start) < 1300 and sampler.lattices.kept[0] < 300
+
+
+def test_numbers_are_drawn_for_all_rows_of_a_step_together(sampler, monkeypatch):
+    calls, draw = [], segmentations.uniforms
+    monkeypatch.setattr(segmentations, "uniforms", lambda *a: calls.append(1) or draw(*a))
+    counts = []
+    for rows in (2, 64):
+        calls.clear()
+        sampler.sample(list(range(rows)), ["the river runs on and on\nand on " * 20] * rows)
+        counts.append(len(calls))
+    assert counts[1] < 2 * counts[0]
+
+
+def test_units_are_runs_of_blanks_with_what_follows_and_line_ends():
+    lattices = segmentations.Lattices(segmentations.Vocabulary(default_model()))
+    apart = "" if "\n" in lattices.v.inner else "\n"
+    draw = random.Random(8)
+    for _ in range(300):
+        text = "".join(draw.choices("ab ▁\n中", k=draw.randrange(1, 12)))
+        units = lattices.units(text)
+        assert "".join(units) == " " + text.replace("▁", " ")
+        whole, want = " " + text.replace("▁", " "), [0]
+        for i in range(1, len(whole)):
+            if whole[i] == apart or whole[i - 1] == apart or (whole[i] == " " != whole[i - 1]):
+                want.append(i)
+        assert list(itertools.accumulate(map(len, units), initial=0))[:-1] == want
+    assert lattices.units("") == []
