@@ -61,3 +61,33 @@ def test_huge_components_fewer_candidates_and_no_rows(spark):
     assert sorted(map(tuple, got)) == clipped
     assert topk.top_products(vectors.limit(0), vectors.limit(0)).count() == 0
     assert topk.top_products(vectors.where("vec_id = 0"), vectors.where("vec_id = 0")).count() == 0
+
+
+def test_many_cells_and_no_side_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "CELL", 4000)
+    monkeypatch.setattr(topk, "ASKED", 300)
+    monkeypatch.setattr(topk, "PIECE", 900)
+    dice = random.Random(6)
+    rows = [(i, [dice.choice([0.0, 0.25, -0.5, 0.75, 200.0 * (i % 9 == 0)]) for _ in range(20)]) for i in range(900)]
+    rows += [(150, rows[3][1]), (150, rows[3][1])]
+    vectors = frame(spark, rows).repartition(3)
+    got = topk.top_products(vectors, vectors.where("vec_id % 50 = 0"))
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
+    known = usable(rows)
+    assert sorted(map(tuple, got.collect())) == best(known, [(i, v) for i, v in known if i % 50 == 0])
+
+
+def test_thresholds_brought_along_lose_nothing():
+    import numpy as np
+
+    dice = np.random.default_rng(5)
+    cand = np.floor(256 * dice.standard_normal((40, 3000)) * np.linspace(3, 0.05, 40)[:, None])
+    cand[:, 2000:2100] = cand[:, 100:200]
+    query, ids = cand[:, :30], np.arange(3000)
+    scores = cand.T @ query
+    scores[np.arange(30), np.arange(30)] = -np.inf
+    reached = np.sort(scores, axis=0)[-5]
+    got = [(q, i, s) for q, i, s in topk.best_of_cell(ids, cand, ids[:30], query, reached=reached)]
+    want = [(q, int(c), int(scores[c, q])) for q in range(30) for c in np.lexsort((ids, -scores[:, q]))[:5]]
+    assert got == want
