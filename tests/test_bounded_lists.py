@@ -143,3 +143,38 @@ def test_item_lists_are_those_of_all_scores(make):
     got = H.top_k(H.candidates(H.itemcf_heads(weights, shelf, bought, 10), shelf, bought), 10)
     as_rows = lambda df: sorted((r.user_id, r["rank"], r.item_id, round(r.score, 3)) for r in df.collect())
     assert as_rows(got) == as_rows(want)
+
+
+def written(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_neighbours_write_no_table_of_pairs(make, monkeypatch, tmp_path):
+    """Every user shares items with all others: what is written must not hold a similarity for each of the 810,000 pairs."""
+    weights = H.user_item_weights(behaviors_of(make, 11, 900, 30, 18000), RecommendSettings())
+    monkeypatch.setattr("stallwise.session.scratch_base", lambda spark: str(tmp_path))
+    assert H.user_neighbors(weights, 3).count() == 2700
+    assert written(tmp_path) < 2_000_000
+
+
+def test_groups_of_blocks_that_meet_in_cells_keep_the_best(spark, monkeypatch):
+    monkeypatch.setattr(products, "GROUPS", 2)
+    monkeypatch.setattr(products, "COMMON", 3)
+    cells = cells_of(12, 2600, 300, 30000)
+    df = table(spark, cells)
+    rows, columns = products.axis(df.select("row").distinct(), "row"), products.axis(df.select("col").distinct(), "col")
+    blocks = products.whole_rows(df, rows, columns, "v")
+    m = np.zeros((2600, 300))
+    for (r, c), v in cells.items():
+        m[r, c] = v
+    norm = np.sqrt((m * m).sum(axis=1))
+    norms = spark.createDataFrame([(f"r{r:04d}", float(x)) for r, x in enumerate(norm) if x], "row string, norms double")
+    about = rows.ids().join(rows.arrays(norms, "norms", "double"), "block")
+    numbers = blocks.select("i")
+    pairs = numbers.crossJoin(numbers.withColumnRenamed("i", "j"))
+    assert products.group_size(blocks) == 3
+    near = products.merged_rows(products.nearest_rows(blocks, about, pairs, 4, 3), rows, "row", "other", 4)
+    sim = np.divide(m @ m.T, np.outer(norm, norm), out=np.zeros((2600, 2600)), where=np.outer(norm, norm) > 0)
+    np.fill_diagonal(sim, 0)
+    want = {(f"r{r:04d}", n + 1): f"r{c:04d}" for r in range(2600) for n, c in enumerate(np.lexsort((np.arange(2600), -np.round(sim[r], 9)))[:4]) if sim[r, c] > 0}
+    assert {(x.row, x["rank"]): x.other for x in near.collect()} == want
