@@ -178,3 +178,28 @@ def test_groups_of_blocks_that_meet_in_cells_keep_the_best(spark, monkeypatch):
     np.fill_diagonal(sim, 0)
     want = {(f"r{r:04d}", n + 1): f"r{c:04d}" for r in range(2600) for n, c in enumerate(np.lexsort((np.arange(2600), -np.round(sim[r], 9)))[:4]) if sim[r, c] > 0}
     assert {(x.row, x["rank"]): x.other for x in near.collect()} == want
+
+
+def test_rows_mixed_by_shares(spark, monkeypatch):
+    near = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 2.0), ("b", "y", 1.0), ("b", "y", 1.0), ("c", "gone", 1.0), (None, "x", 1.0)], "u string, n string, s double")
+    theirs = spark.createDataFrame([("x", "1", 2.0), ("x", "2", 4.0), ("y", "2", 3.0), ("y", None, 1.0), ("y", "2", 1.0), (None, "1", 9.0)], "n string, item string, w double")
+    got = {(r.u, r.item): r.score for r in products.mixed_rows(near, theirs, "u", "n", "item", "s", "w", "score").collect()}
+    assert got == {("a", "1"): 1.0, ("a", "2"): 10.0, ("a", None): 2.0, ("b", "2"): 8.0, ("b", None): 2.0, (None, "1"): 2.0, (None, "2"): 4.0}
+
+
+def test_scores_of_similar_users_are_added_up_without_a_row_for_each_product(make):
+    weights = H.user_item_weights(behaviors_of(make, 13, 300, 40, 4000), RecommendSettings())
+    near = {}
+    for r in H.user_neighbors(weights, 20).collect():
+        near.setdefault(r.user_id, []).append((r.neighbor_id, r.sim))
+    own = {}
+    for r in weights.collect():
+        own.setdefault(r.user_id, []).append((r.item_id, r.w))
+    want = {}
+    for u, others in near.items():
+        for o, s in others:
+            for i, w in own[o]:
+                want[u, i] = want.get((u, i), 0.0) + s * w
+    scores = H.usercf_scores(weights, 20)
+    assert {(r.user_id, r.item_id): round(r.score, 9) for r in scores.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert "neighbor_id#" not in scores._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
