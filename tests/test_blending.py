@@ -88,3 +88,15 @@ def test_all_content_scores_without_a_user_name(make, spark):
     rows = taste.join(side, "feature").groupBy("user_id", "item_id").agg(F.sum(F.col("t") * F.col("v")).alias("score"))
     as_rows = lambda df: {(r.user_id, r.item_id): round(r.score, 9) for r in df.collect()}
     assert as_rows(H.content_scores(seeds, features)) == as_rows(rows)
+
+
+def test_content_lists_write_no_rows_of_users_and_features(make, monkeypatch, tmp_path):
+    """150 users whose tastes hold every feature of a shelf of 3,000 items: neither pairs nor their postings may be written or shuffled as rows."""
+    b, items, orders, lines, users = world_of(make, 5, 150, 100, 40, 3000)
+    monkeypatch.setattr("stallwise.session.scratch_base", lambda spark: str(tmp_path))
+    cfg = RecommendSettings()
+    shelf, bought = H._context(b, items, orders, lines, cfg)
+    heads = H.content_heads(H.user_seeds(b, cfg), H.content_features(items, cfg.price_bins), shelf, bought, 10)
+    assert "FlatMapCoGroupsInArrow" in heads._jdf.queryExecution().toString()
+    assert H.top_k(H.candidates(heads, shelf, bought), 10).count() == 1500
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 1_500_000
